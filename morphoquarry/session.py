@@ -78,3 +78,18 @@ class Cut:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per application; they may not share the driver's path."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    folder = tempfile.mkdtemp(prefix="morphoquarry-zip-")
+    atexit.register(shutil.rmtree, folder, True)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/morphoquarry", "zip", root, "morphoquarry"))
