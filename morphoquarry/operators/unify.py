@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from morphoquarry.functions.units import ALIASES, close_enough, parse_notes, parse_scaling, split_unit
 
@@ -12,12 +13,12 @@ from morphoquarry.functions.units import ALIASES, close_enough, parse_notes, par
 BROADCAST_SPELLINGS = 100_000
 
 
-@F.pandas_udf("base string, power int")
+@F.pandas_udf(T.StructType([T.StructField("base", T.StringType()), T.StructField("power", T.IntegerType())]))
 def _split(spelling: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([split_unit(s) for s in spelling], columns=["base", "power"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _distance(base: pd.Series, alias: pd.Series) -> pd.Series:
     return pd.Series([close_enough(a, b) for a, b in zip(base, alias)], dtype=float)
 
@@ -61,10 +62,10 @@ def look_up(df: DataFrame, column: str, dictionary: tuple[DataFrame, bool], out:
     return df.join(F.broadcast(names) if small else names, F.col(column) == F.col(f"_{out}_key"), "left").drop(f"_{out}_key")
 
 
-def read_examples(exmd: DataFrame) -> DataFrame:
-    """Per example: the numbers and unit texts of its scaling, and the units its notes tell."""
+def read_examples(exmd: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per example: the numbers and unit texts of its scaling, the units its notes tell, and columns to carry as they are."""
     fields = [f"{a}_{p}" for a in "xyz" for p in ("num", "unit", "inverse")]
-    schema = "ex_i string, spatial_axes string, px_unit string, " + ", ".join(f"{a}_num double, {a}_unit string, {a}_inverse boolean" for a in "xyz") + ", area_note string, place_note string"
+    schema = "ex_i string, spatial_axes string, px_unit string, " + ", ".join(f"{a}_num double, {a}_unit string, {a}_inverse boolean" for a in "xyz") + ", area_note string, place_note string" + "".join(f", {c} {exmd.schema[c].dataType.simpleString()}" for c in carry)
 
     def read(batches):
         for pdf in batches:
@@ -75,26 +76,27 @@ def read_examples(exmd: DataFrame) -> DataFrame:
                 out[f] = [p[axis][k] if axis in p else None for p in parsed]
             notes = [parse_notes(n) for n in pdf["notes"]]
             out["area_note"], out["place_note"] = [n[0] for n in notes], [n[1] for n in notes]
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out | {c: pdf[c] for c in carry})
 
-    return exmd.select("ex_i", "spatial_axes", "px_sizes_unit", "notes", F.col("image_metadata.scaling").alias("scaling")).mapInPandas(read, schema)
+    return exmd.select("ex_i", *carry, "spatial_axes", "px_sizes_unit", "notes", F.col("image_metadata.scaling").alias("scaling")).mapInPandas(read, schema)
 
 
 class CommonUnits:
     """Examples and objects with their quantities in common units.
 
     ``examples``: ex_i, spatial_axes, x_pm, y_pm, z_pm (picometres per voxel or NULL), area_note_pm, place_note_pm.
+    ``carry`` names columns of exmd that examples and objects keep.
     ``objects(carry)``: one row per object with area (thousandths of µm² or µm³, by the example's axes) and centroid
-    (nm, in recorded order), both NULL where there is no case.
+    (nm, in recorded order), both NULL where there is no case; ``places=False`` leaves centroids out.
 
     A scaling's own unit counts first, then px_sizes_unit, then metres; a unit that can't be read counts as none.
     Areas not above 0, NULL or NaN have no value; neither have centroids with NULL or NaN or in pixels. Objects whose
     example is missing or NULL keep NULL. Repeated rows (equal in the columns used) come out once.
     """
 
-    def __init__(self, rpdf: DataFrame, exmd: DataFrame, cut=None):
+    def __init__(self, rpdf: DataFrame, exmd: DataFrame, cut=None, carry: tuple[str, ...] = ()):
         self.rpdf = rpdf
-        read = read_examples(exmd)
+        read = read_examples(exmd, carry)
         if cut:
             read = cut.table(read)
         told = [read.select(F.explode(F.array("px_unit", "x_unit", "y_unit", "z_unit", "area_note", "place_note")).alias("spelling"))]
@@ -108,14 +110,14 @@ class CommonUnits:
             size = F.coalesce(F.nullif(F.col(f"{a}_unit_pm"), F.lit(0.0)), F.nullif(F.col("px_unit_pm"), F.lit(0.0)), F.lit(1e12))
             return F.when(F.col(f"{a}_inverse"), F.try_divide(size, F.col(f"{a}_num"))).otherwise(F.col(f"{a}_num") * size)
 
-        self.examples = out.select("ex_i", "spatial_axes", *[voxel(a).alias(f"{a}_pm") for a in "xyz"], "area_note_pm", "place_note_pm")
+        self.examples = out.select("ex_i", *carry, "spatial_axes", *[voxel(a).alias(f"{a}_pm") for a in "xyz"], "area_note_pm", "place_note_pm")
 
-    def objects(self, carry: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
+    def objects(self, carry: tuple[str, ...] = (), places: bool = True) -> DataFrame:
         c = F.col("centroid")
         valid = F.size(c).between(2, 3) & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v))
         rows = self.rpdf.select("obj_id", "ex_i", *carry, F.when((F.col("area") > 0) & ~F.isnan("area"), F.col("area")).alias("area"), F.when(valid, c).alias("centroid"), "area_unit", "centroid_unit")
-        if where is not None:
-            rows = rows.where(where)
+        if not places:
+            rows = rows.withColumn("centroid", F.lit(None).cast("array<double>")).withColumn("centroid_unit", F.lit(None).cast("string"))
         rows = look_up(look_up(rows, "area_unit", self.dictionary, "a_pm"), "centroid_unit", self.dictionary, "c_pm")
         rows = rows.withColumn("centroid", F.when(F.coalesce(F.col("c_pm"), F.lit(-1.0)) != 0, F.col("centroid"))).drop("area_unit", "centroid_unit")
         rows = rows.dropDuplicates()
