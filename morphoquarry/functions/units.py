@@ -146,7 +146,7 @@ def parse_notes(text: str | None) -> tuple[str | None, str | None]:
     """(unit of areas, unit of centroids) told by a remark; sizes of other things, as '40 µm' of thickness, tell neither."""
     size = place = None
     for clause in _CLAUSE.split(text or ""):
-        clause = clause.strip()
+        clause = clause.strip(" \t.")
         told = _UNIT_TAIL.search(clause)
         if not told or _COUNTED.search(clause):
             continue
