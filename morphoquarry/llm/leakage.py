@@ -1 +1,246 @@
-QUERIES = {}
+"""Problem 9: passages of held-out items in documents, by winnowed fingerprints whose hits are extended."""
+
+from __future__ import annotations
+
+import html
+import re
+import unicodedata
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from morphoquarry.sources.tables import table
+
+#: Words of a fingerprint, and fingerprints of a window. Every shared run of GRAM + WINDOW − 1 = 6 words is found.
+GRAM, WINDOW = 5, 2
+#: Consecutive words that make a leak.
+SPAN = 12
+#: Of an item's words, one in so many may be replaced, dropped or added. An item so changed keeps a run of six words whole.
+ONE_IN = 7
+#: Items of a block; the corpus is read once for each block, whose words and fingerprints (under 30 MB) are broadcast.
+BLOCK_ITEMS = 20_000
+
+_TAGS = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|</?[A-Za-z][^<>]*>", re.S | re.I)
+_INLINE = re.compile(r"</?(?:a|abbr|b|code|em|font|i|mark|s|small|span|strong|sub|sup|tt|u)\b[^<>]*>", re.I)
+_LINK = re.compile(r"!?\[([^\]\n]*)\]\([^()\s]*\)")
+_BREAK = re.compile(r"[-­‐‑]\s*(?:\n[ \t>*+|#\-]*)+(?=[^\W\d_])")
+_SIGN = r"[>|*+#•·‣\-–—]+|\[[ xX]?\]|\[\d{1,2}:\d{2}(?::\d{2})?\](?:\s*\w+:)?"
+_COUNT = r"\(?(?:\d{1,4}|[A-Za-z])[.):]|\d{1,4}(?=\t| {2,})"
+#: What may stand before a line's words. A number there may be a mark or the text's own, so each reading is tried.
+_LINE_MARKS = (re.compile(rf"^[ \t]*(?:(?:{_SIGN}|{_COUNT})[ \t]*)+", re.M), re.compile(rf"^[ \t]*(?:{_SIGN}|{_COUNT})[ \t]*", re.M), re.compile(rf"^[ \t]*(?:(?:{_SIGN})[ \t]*)+", re.M))
+_INNER = re.compile(r"(?<=\w)[-'’ʼ­‐‑](?=\w)")
+_HIDDEN = re.compile(r"[­​-‏⁠﻿‪-‮]")
+_WORD = re.compile(r"[^\W_]+")
+
+
+def readings(text: str | None) -> list[list[str]]:
+    """The words by which texts are compared: without markup, line marks, hyphens of line breaks, case, punctuation or variant encodings.
+
+    The first reading leaves out all marks and numbers at line starts, the others one of them or marks only, where that
+    differs.
+    """
+    if not text:
+        return [[]]
+    text = unicodedata.normalize("NFKC", html.unescape(text)) if "&" in text or not text.isascii() else text
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "<" in text:
+        text = _TAGS.sub("\n", _INLINE.sub("", text))
+    if "](" in text:
+        text = _LINK.sub(r"\1", text)
+    if not text.isascii():
+        text = _HIDDEN.sub("", text.replace("\u00ad\n", "-\n"))
+    text = _BREAK.sub("", text)
+    out: list[list[str]] = []
+    seen = set()
+    for marks in _LINE_MARKS:
+        bare = marks.sub("", text)
+        if bare not in seen:
+            seen.add(bare)
+            tokens = _WORD.findall(_INNER.sub("", bare.replace("*", "").replace("`", "").replace("_", " ")).casefold())
+            if tokens not in out:
+                out.append(tokens)
+    return out
+
+
+def words(text: str | None) -> list[str]:
+    return readings(text)[0]
+
+
+class Hasher:
+    """Words to 64-bit numbers, with a memory of those met."""
+
+    def __init__(self, most: int = 500_000):
+        self.known: dict[str, int] = {}
+        self.most = most
+
+    def __call__(self, tokens: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        out = []
+        for t in tokens:
+            h = known.get(t)
+            if h is None:
+                h = known[t] = xxhash.xxh64_intdigest(t)
+            out.append(h)
+        return np.array(out, np.uint64)
+
+
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram_hashes(word_hashes: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """A number for each run of ``gram`` words."""
+    n = len(word_hashes) - gram + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(gram):
+            out = out * _MULTIPLIER + word_hashes[i : i + n]
+        out ^= out >> np.uint64(31)
+        return out * _MULTIPLIER
+
+
+def winnow(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Positions of the smallest gram of each window; texts shorter than a window keep their smallest."""
+    if len(grams) == 0:
+        return np.zeros(0, np.int64)
+    if len(grams) <= window:
+        return np.array([int(grams.argmin())])
+    view = np.lib.stride_tricks.sliding_window_view(grams, window)
+    return np.unique(np.arange(len(view)) + view.argmin(1))
+
+
+def longest_run(a: np.ndarray, b: np.ndarray, hits: list[tuple[int, int]]) -> int:
+    """The longest run of equal words through any hit (position in a, position in b)."""
+    best, done = 0, set()
+    for i, j in hits:
+        if (i, j) in done:
+            continue
+        x, y = i, j
+        while x > 0 and y > 0 and a[x - 1] == b[y - 1]:
+            x, y = x - 1, y - 1
+        start = x
+        while x < len(a) and y < len(b) and a[x] == b[y]:
+            done.add((x, y))
+            x, y = x + 1, y + 1
+        best = max(best, x - start)
+    return best
+
+
+def holds_whole(item: np.ndarray, doc: np.ndarray, hits: list[tuple[int, int]], most: int) -> bool:
+    """Whether some part of doc becomes the item by at most ``most`` words replaced, dropped or added.
+
+    Only columns near the diagonals of hits are looked at: with so few edits, the part lies within ``most`` words of one.
+    """
+    n = len(item)
+    offsets = sorted({j - i for i, j in hits})
+    ranges: list[list[int]] = []
+    for o in offsets:
+        lo, hi = max(0, o - most), min(len(doc), o + n + most)
+        if ranges and lo <= ranges[-1][1]:
+            ranges[-1][1] = max(ranges[-1][1], hi)
+        else:
+            ranges.append([lo, hi])
+    for lo, hi in ranges:
+        part = doc[lo:hi]
+        m = len(part)
+        row = np.zeros(m + 1, np.int32)  # the part may begin anywhere
+        steps = np.arange(m + 1, dtype=np.int32)
+        for i in range(n):
+            change = row[:-1] + (part != item[i])
+            new = np.empty(m + 1, np.int32)
+            new[0] = i + 1
+            new[1:] = np.minimum(row[1:] + 1, change)
+            row = np.minimum.accumulate(new - steps) + steps  # words added in between
+            if row.min() > most:
+                break
+        else:
+            if row.min() <= most:
+                return True
+    return False
+
+
+class Items:
+    """The held-out side: words and winnowed fingerprints, sorted for lookups of whole arrays."""
+
+    def __init__(self, ids: list[int], texts: list[str | None]):
+        hasher = Hasher()
+        self.ids, self.words = ids, [hasher(words(t)) for t in texts]
+        grams, where, at = [], [], []
+        for k, w in enumerate(self.words):
+            g = gram_hashes(w)
+            keep = winnow(g)
+            grams.append(g[keep])
+            where.append(np.full(len(keep), k))
+            at.append(keep)
+        order = np.argsort(np.concatenate(grams), kind="stable") if grams else np.zeros(0, int)
+        self.grams = np.concatenate(grams)[order] if grams else np.zeros(0, np.uint64)
+        self.item = np.concatenate(where)[order] if grams else np.zeros(0, int)
+        self.at = np.concatenate(at)[order] if grams else np.zeros(0, int)
+
+    def parts(self) -> tuple:
+        return self.ids, self.words, self.grams, self.item, self.at
+
+    @classmethod
+    def of(cls, parts: tuple) -> "Items":
+        out = cls.__new__(cls)
+        out.ids, out.words, out.grams, out.item, out.at = parts
+        return out
+
+    def leaked(self, doc: np.ndarray) -> list[int]:
+        """Ids of the items of which the document, given as word hashes, holds SPAN words in a row or nearly the whole."""
+        found = []
+        grams = gram_hashes(doc)
+        keep = winnow(grams)
+        prints = grams[keep]
+        lo = np.searchsorted(self.grams, prints, "left")
+        hi = np.searchsorted(self.grams, prints, "right")
+        met = np.flatnonzero(hi > lo)
+        hits: dict[int, list[tuple[int, int]]] = {}
+        for p in met:
+            for q in range(lo[p], hi[p]):
+                hits.setdefault(int(self.item[q]), []).append((int(self.at[q]), int(keep[p])))
+        for k, pairs in hits.items():
+            item = self.words[k]
+            if longest_run(item, doc, pairs) >= SPAN or holds_whole(item, doc, pairs, len(item) // ONE_IN):
+                found.append(self.ids[k])
+        return found
+
+
+def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(doc_id, item_id): the document holds at least 12 consecutive words of the item, or the item with at most one word in seven changed.
+
+    Items are handled in blocks of bounded size whose fingerprints are broadcast; the corpus's fingerprints meet them
+    where the documents are and are never moved. Documents are read whole. NULL and empty texts and NULL ids leak
+    nothing; items of fewer than five words have no fingerprint and are never reported.
+    """
+    spark = documents.sparkSession
+    block = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).distinct()
+    blocks = -(-block.count() // BLOCK_ITEMS)
+    docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = None
+    for b in range(max(1, blocks)):
+        held = (block if blocks <= 1 else block.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)).toPandas()
+        shared = spark.sparkContext.broadcast(Items(held["item_id"].tolist(), held["text"].tolist()).parts())
+
+        def run(batches, shared=shared):
+            known, hasher = Items.of(shared.value), Hasher()
+            for pdf in batches:
+                rows = [(d, i) for d, t in zip(pdf["doc_id"], pdf["text"]) for i in {i for tokens in readings(t) for i in known.leaked(hasher(tokens))}]
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
+
+        part = docs.mapInPandas(run, "doc_id long, item_id long")
+        out = part if out is None else out.unionAll(part)
+    return out.distinct()
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text")
+
+
+QUERIES = {"p9_found": p9_found}
