@@ -1 +1,319 @@
-QUERIES = {}
+"""Problem 10: subject areas of documents by term weighting, truncated SVD and centroids refined from seeds."""
+
+from __future__ import annotations
+
+import html
+import re
+import unicodedata
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from morphoquarry.session import Cut
+from morphoquarry.sources.tables import table
+
+#: A term belongs to the vocabulary if at least this share of the documents (and LEAST_DOCS of them) hold it.
+TERM_SHARE, LEAST_DOCS = 2e-4, 3
+#: Languages with a statistic of their own: the most frequent ones that hold at least LANGUAGE_SHARE of the documents.
+LANGUAGES, LANGUAGE_SHARE = 20, 0.002
+#: Dimensions of the embedding, and of the random start of its subspace.
+RANK, EXTRA = 128, 16
+ROUNDS = 3
+#: A subject counts for a document from this share of its sentences on.
+SHARE = 0.25
+#: Lift shares at which a term begins to count and counts fully, standard deviations for full trust, and the least weight that makes a sentence speak of a subject.
+LIFT_LOW, LIFT_FULL, TRUST, SPEAKS, COSINE = 0.2, 0.5, 3.0, 0.3, 0.1
+#: Rows of the partial sums that are added at a time, and terms of such a row.
+BLOCK = 256
+
+_INLINE = re.compile(r"</?(?:a|abbr|b|code|em|font|i|mark|s|small|span|strong|sub|sup|tt|u)\b[^<>]*>", re.I)
+_TAG = re.compile(r"<[^<>]*>")
+_MARKS = re.compile(r"^\s*(?:(?:[>|*+#•\-–—]+|\d{1,4}[.):]|\[\d{1,2}:\d{2}(?::\d{2})?\](?:\s*\w+:)?)\s*)+")
+_ENDS = re.compile(r"(?<=[.!?])\s+")
+_TERM = re.compile(r"[^\W\d_]+")
+
+
+def sentences(text: str | None) -> list[str]:
+    """Sentences without markup; headings and lines that only announce others are none, wrapped lines are joined."""
+    if not text:
+        return []
+    if "&" in text or not text.isascii():
+        text = unicodedata.normalize("NFKC", html.unescape(text))
+    if "<" in text:
+        text = _TAG.sub("\n", _INLINE.sub("", text))
+    out: list[str] = []
+    held = ""
+    for line in text.split("\n"):
+        bare = _MARKS.sub("", line).strip()
+        if not bare or line.lstrip().startswith("#") or bare.endswith(":"):
+            if held:
+                out.append(held)
+            held = ""
+            continue
+        held = f"{held} {bare}" if held else bare
+        if held[-1] in ".!?":
+            out.extend(_ENDS.split(held))
+            held = ""
+    if held:
+        out.extend(_ENDS.split(held))
+    return [s for s in out if _TERM.search(s)]
+
+
+def terms(sentence: str) -> list[str]:
+    return list(dict.fromkeys(_TERM.findall(sentence.casefold())))
+
+
+def language(code: str | None) -> str:
+    return (code or "").strip().casefold()[:2]
+
+
+def _count_terms(batches):
+    """Per batch: documents by language and term; the term '' counts documents."""
+    for pdf in batches:
+        count: Counter = Counter()
+        for lang, text in zip(pdf["lang"], pdf["text"]):
+            code = language(lang)
+            count[code, ""] += 1
+            for t in {t for s in sentences(text) for t in terms(s)}:
+                count[code, t] += 1
+        yield pd.DataFrame([(a, b, n) for (a, b), n in count.items()], columns=["lang", "term", "n"])
+
+
+def _encoder(shared):
+    """Documents as term numbers, with −1 after each sentence."""
+
+    def run(batches):
+        number, languages = shared.value
+        for pdf in batches:
+            data = []
+            for text in pdf["text"]:
+                ids: list[int] = []
+                for s in sentences(text):
+                    ids.extend(number[t] for t in terms(s) if t in number)
+                    ids.append(-1)
+                data.append(np.array(ids, np.int32).tobytes())
+            yield pd.DataFrame({"id": pdf["id"], "lang": [languages.get(language(x), 0) for x in pdf["lang"]], "ids": data, "subjects": pdf["subjects"]})
+
+    return run
+
+
+def _rows(ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of a batch's encoded documents: (document, term, weight) of distinct weighted terms, and the number of documents."""
+    doc, term = [], []
+    for d, raw in enumerate(ids):
+        t = np.frombuffer(raw, np.int32)
+        t = np.unique(t[t >= 0])
+        t = t[weights[t] > 0]
+        doc.append(np.full(len(t), d))
+        term.append(t)
+    doc = np.concatenate(doc) if doc else np.zeros(0, int)
+    term = np.concatenate(term) if term else np.zeros(0, int)
+    w = weights[term]
+    norm = np.sqrt(np.bincount(doc, w * w, minlength=len(ids)))
+    return doc, term, w / np.maximum(norm[doc], 1e-12), len(ids)
+
+
+def _grouped_sum(values: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
+    """Sums of rows by key; keys ascend."""
+    out = np.zeros((size, values.shape[1]), np.float32)
+    if len(keys):
+        starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        out[keys[starts]] = np.add.reduceat(values, starts, axis=0)
+    return out
+
+
+def _project(shared):
+    """Partial Aᵀ(A·Q) of the partition's documents, in blocks of terms; A has unit rows of weighted terms."""
+
+    def run(batches):
+        weights, q = shared.value
+        total = np.zeros(q.shape, np.float32)
+        for pdf in batches:
+            ids = pdf["ids"].to_numpy()
+            for at in range(0, len(ids), 400):
+                doc, term, w, n = _rows(ids[at : at + 400], weights)
+                if len(doc):
+                    y = _grouped_sum(q[term] * w[:, None].astype(np.float32), doc, n)
+                    order = np.argsort(term, kind="stable")
+                    total += _grouped_sum(y[doc[order]] * w[order, None].astype(np.float32), term[order], len(q))
+        for b in range(0, len(total), BLOCK):
+            part = total[b : b + BLOCK]
+            if part.any():
+                yield pd.DataFrame({"block": [b // BLOCK], "data": [part.tobytes()]})
+
+    return run
+
+
+def _add_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.frombuffer(pdf["data"].iloc[0], np.float32).copy()
+    for data in pdf["data"].iloc[1:]:
+        total += np.frombuffer(data, np.float32)
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "data": [total.tobytes()]})
+
+
+def _speak(ids: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch's encoded documents: (document, subject or −1) of each sentence, and sentences per document."""
+    docs, subjects, total = [], [], np.zeros(len(ids), np.int64)
+    flat = [np.frombuffer(raw, np.int32) for raw in ids]
+    for at in range(0, len(flat), 500):
+        part = flat[at : at + 500]
+        lengths = np.array([len(x) for x in part])
+        stream = np.concatenate(part) if len(part) else np.zeros(0, np.int32)
+        doc = np.repeat(np.arange(at, at + len(part)), lengths)
+        end = stream < 0
+        sentence = np.cumsum(end) - end
+        of = doc[end]
+        np.add.at(total, of, 1)
+        known = ~end
+        known[known] = model["weight"][stream[known]] > 0
+        s, t = sentence[known], stream[known]
+        vec = _grouped_sum(model["vector"][t], s, len(of))
+        trust = np.zeros(len(of), np.float32)
+        np.maximum.at(trust, s, model["trust"][t])
+        norm = np.linalg.norm(vec, axis=1)
+        cosine = vec @ model["centroid"].T / np.maximum(norm, 1e-12)[:, None]
+        best = cosine.argmax(1)
+        good = (cosine[np.arange(len(of)), best] >= COSINE) & (trust >= SPEAKS)
+        docs.append(of)
+        subjects.append(np.where(good, model["subject"][best], -1))
+    return np.concatenate(docs) if docs else np.zeros(0, int), np.concatenate(subjects) if subjects else np.zeros(0, int), total
+
+
+def _members(ids: np.ndarray, model: dict, subjects: int) -> np.ndarray:
+    """Documents × subjects: whether at least SHARE of the sentences are about the subject."""
+    doc, subject, total = _speak(ids, model)
+    told = subject >= 0
+    count = np.bincount(doc[told] * subjects + subject[told], minlength=len(ids) * subjects).reshape(len(ids), subjects)
+    return (count > 0) & (count >= SHARE * total[:, None])
+
+
+def _evidence(shared, subjects: int):
+    """Documents that belong to a subject, by (term, subject, language); the term −1 counts documents. Members are those labelled, or found by the model."""
+
+    def run(batches):
+        model, size = shared.value
+        for pdf in batches:
+            ids = pdf["ids"].to_numpy()
+            if model is None:
+                member = np.zeros((len(ids), subjects), bool)
+                for d, given in enumerate(pdf["subjects"]):
+                    if given is not None:
+                        member[d, np.asarray(given, int)] = True
+            else:
+                member = _members(ids, model, subjects)
+            count: Counter = Counter()
+            for d in np.flatnonzero(member.any(1)):
+                t = np.unique(np.frombuffer(ids[d], np.int32))
+                for k in np.flatnonzero(member[d]):
+                    count.update(zip(np.append(t[t >= 0], -1).tolist(), [int(k)] * (len(t) + 1), [int(pdf["lang"].iloc[d])] * (len(t) + 1)))
+            yield pd.DataFrame([(*key, n) for key, n in count.items()], columns=["term", "subject", "lang", "n"])
+
+    return run
+
+
+def _term_weights(count: np.ndarray, members: np.ndarray, rate: np.ndarray, idf: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(weight, trust) by term: how far its documents' subjects depart from what its languages would give by chance."""
+    seen = count.sum(2)
+    expected = np.einsum("tl,sl->ts", rate, members)
+    lift = (seen + alpha) / (expected + alpha)
+    share = lift / lift.sum(1, keepdims=True)
+    best, row = lift.argmax(1), np.arange(len(lift))
+    sure = (seen[row, best] - expected[row, best]) / np.sqrt(expected[row, best] + 0.5)
+    trust = np.clip((share[row, best] - LIFT_LOW) / (LIFT_FULL - LIFT_LOW), 0, 1) * np.clip(sure / TRUST, 0, 1)
+    return (idf * trust).astype(np.float32), trust.astype(np.float32)
+
+
+def subject_areas(documents: DataFrame, id_col: str, text_col: str, lang_col: str, labels: DataFrame, label_id: str, label_subject: str, subjects: list[str]) -> DataFrame:
+    """(id, subject): subjects of at least a quarter of a document's sentences.
+
+    Seeds are the documents with known subjects, of which some may be wrong; labels with other subjects are not used.
+    Terms are weighted by inverse document frequency and by how clearly they go with one subject beyond what the
+    language explains. Documents are embedded by the leading right singular vectors of the weighted matrix (a random
+    subspace iterated over all documents); each subject has a centroid per language. Each sentence goes to the nearest
+    centroid, if it holds a term that tells subjects apart. The documents so found are the next round's seeds.
+    NULL and empty texts and documents without sentences have no subject. Rows with a NULL id are left out. Without
+    labels that fit, nothing is assigned. All counts, the embedding and the centroids are made over all documents.
+    """
+    spark, cut = documents.sparkSession, Cut(documents.sparkSession)
+    number = {s: k for k, s in enumerate(subjects)}
+    docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = docs.select("lang", "text").mapInPandas(_count_terms, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    counts = cut.table(counts)
+    per_language = {r["lang"]: r["n"] for r in counts.where("term = ''").select("lang", "n").orderBy(F.desc("n")).limit(10_000).collect()}
+    total = counts.where("term = ''").agg(F.sum("n")).first()[0] or 0
+    codes = [c for c, n in sorted(per_language.items(), key=lambda x: (-x[1], x[0])) if c and n >= LANGUAGE_SHARE * total][:LANGUAGES]
+    languages = {c: i + 1 for i, c in enumerate(codes)}
+    least = max(LEAST_DOCS, TERM_SHARE * total)
+    frequent = counts.where("term <> ''").groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") >= least).select("term", "df")
+    rows = counts.join(frequent, "term").select("term", "lang", "n", "df").toPandas().sort_values(["term", "lang"], ignore_index=True)
+    vocabulary = {t: i for i, t in enumerate(rows["term"].drop_duplicates())}
+    size, width = len(vocabulary), len(languages) + 1
+    rate, in_language = np.zeros((size, width)), np.zeros(width)
+    for code, n in per_language.items():
+        in_language[languages.get(code, 0)] += n
+    in_language[0] += total - in_language.sum()
+    df = np.zeros(size)
+    for t, code, n in zip(rows["term"], rows["lang"], rows["n"]):
+        rate[vocabulary[t], languages.get(code, 0)] += n
+        df[vocabulary[t]] += n
+    rate /= np.maximum(in_language, 1)
+    idf = np.log(max(total, 1) / np.maximum(df, 1))
+    index = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
+    given = labels.where(F.col(label_subject).isin(subjects)).groupBy(F.col(label_id).cast("long").alias("id")).agg(F.collect_set(index[F.col(label_subject)]).alias("subjects"))
+    coder = spark.sparkContext.broadcast((vocabulary, languages))
+    encoded = cut.table(docs.join(given, "id", "left").select("id", "lang", "text", "subjects").mapInPandas(_encoder(coder), "id long, lang int, ids binary, subjects array<int>"))
+    model = None
+    rng = np.random.default_rng(3)
+    for round_ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((model, size))
+        told = encoded.select("ids", "lang", "subjects").mapInPandas(_evidence(shared, len(subjects)), "term int, subject int, lang int, n long").groupBy("term", "subject", "lang").agg(F.sum("n").alias("n")).toPandas()
+        count, members = np.zeros((size, len(subjects), width)), np.zeros((len(subjects), width))
+        t, s, lg, n = (told[c].to_numpy(int) for c in ("term", "subject", "lang", "n"))
+        members[s[t < 0], lg[t < 0]] = n[t < 0]
+        count[t[t >= 0], s[t >= 0], lg[t >= 0]] = n[t >= 0]
+        weight, trust = _term_weights(count, members, rate, idf, 1.0 if round_ == 0 else 3.0)
+        rank = min(RANK + EXTRA, int((weight > 0).sum()))
+        if not rank:
+            return encoded.select("id", F.lit("").alias("subject")).limit(0)
+        q = np.linalg.qr(rng.standard_normal((size, rank)) * (weight[:, None] > 0))[0].astype(np.float32)
+        for step in range(2):
+            sent = spark.sparkContext.broadcast((weight, q))
+            added = encoded.select("ids").mapInPandas(_project(sent), "block int, data binary").groupBy("block").applyInPandas(_add_blocks, "block int, data binary").toPandas()
+            y = np.zeros((size, rank), np.float32)
+            for b, data in zip(added["block"], added["data"]):
+                part = np.frombuffer(data, np.float32).reshape(-1, rank)
+                y[b * BLOCK : b * BLOCK + len(part)] = part
+            if step == 0:
+                q = np.linalg.qr(y)[0].astype(np.float32)
+        small = q.T @ y
+        basis = (q @ np.linalg.eigh((small + small.T) / 2)[1][:, ::-1][:, :RANK]).astype(np.float32)
+        vector = basis * weight[:, None]
+        centroid, subject = [], []
+        for k in range(len(subjects)):
+            for c in range(width):
+                if members[k, c] > 0:
+                    mean = count[:, k, c] @ vector
+                    length = np.linalg.norm(mean)
+                    if length > 0:
+                        centroid.append(mean / length)
+                        subject.append(k)
+        model = {"weight": weight, "trust": trust, "vector": vector, "centroid": np.array(centroid, np.float32), "subject": np.array(subject, np.int64)}
+    last = spark.sparkContext.broadcast(model)
+
+    def assign(batches):
+        for pdf in batches:
+            doc, k = np.nonzero(_members(pdf["ids"].to_numpy(), last.value, len(subjects)))
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[doc], "subject": np.array(subjects, object)[k]})
+
+    return encoded.select("id", "ids").mapInPandas(assign, "id long, subject string").distinct()
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    names = [r[0] for r in table(spark, folder, "subjects").select("subject").where("subject IS NOT NULL").distinct().sort("subject").collect()]
+    return subject_areas(table(spark, folder, "documents"), "doc_id", "text", "lang", table(spark, folder, "labels"), "doc_id", "subject", names).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"p10_found": p10_found}
