@@ -205,9 +205,13 @@ class Items:
         for p in met:
             for q in range(lo[p], hi[p]):
                 hits.setdefault(int(self.item[q]), []).append((int(self.at[q]), int(keep[p])))
+        held = np.unique(doc) if hits else doc
         for k, pairs in hits.items():
             item = self.words[k]
-            if longest_run(item, doc, pairs) >= SPAN or holds_whole(item, doc, pairs, len(item) // ONE_IN):
+            most = len(item) // ONE_IN
+            # an item can be held whole only if the document has all its words but ``most``
+            whole = len(item) - np.isin(item, held).sum() <= most
+            if longest_run(item, doc, pairs) >= SPAN or (whole and holds_whole(item, doc, pairs, most)):
                 found.append(self.ids[k])
         return found
 
