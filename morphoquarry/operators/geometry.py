@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -63,7 +64,7 @@ def clip_to_box(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float) ->
 
 def area_in_box(df: DataFrame, ring: str, bounds: tuple[float, float, float, float], out: str) -> DataFrame:
     """Adds the area of the ring within a box; 0 where nothing is left, NULL for NULL rings."""
-    schema = df.schema.add(out, "double")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches):
         for pdf in batches:

@@ -72,11 +72,11 @@ def near_pairs(df: DataFrame, id_col: str, coords: list[Column], keys: list[Colu
     return parts.groupBy("cell").applyInPandas(pairs, "id_a long, id_b long")
 
 
-def polygon_edges(df: DataFrame, poly_id: str, ring: str, holes: str, keys: list[Column]) -> DataFrame:
+def polygon_edges(df: DataFrame, poly_id: str, ring: str, holes: str, keys: list[Column], flat: bool = False) -> DataFrame:
     """One row per edge, with the box in which it can matter to a ray towards +x: from the left end of its ring.
 
     Rings are closed if they aren't; vertices that are NULL or hold NULL or NaN are left out; a NULL list of holes is
-    none. Rings of one or two vertices enclose nothing.
+    none. Rings of one or two vertices enclose nothing. ``flat`` keeps edges along x, which no ray towards +x crosses.
     """
     shape = "array<array<struct<x:double,y:double>>>"
     first = F.when(F.col(ring).isNotNull(), F.array(F.col(ring))).otherwise(F.array()).cast(shape)
@@ -92,7 +92,7 @@ def polygon_edges(df: DataFrame, poly_id: str, ring: str, holes: str, keys: list
     out = rings.select("poly", "g1", "g2", "ring", "left", F.posexplode(edges).alias("edge", "e"))
     x1, y1, x2, y2 = F.col("e.a.x"), F.col("e.a.y"), F.col("e.b.x"), F.col("e.b.y")
     out = out.select("poly", "g1", "g2", "ring", "edge", "left", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
-    return out.where("y1 <> y2").withColumns({"right": F.greatest("x1", "x2"), "low": F.least("y1", "y2"), "high": F.greatest("y1", "y2")})
+    return (out if flat else out.where("y1 <> y2")).withColumns({"right": F.greatest("x1", "x2"), "low": F.least("y1", "y2"), "high": F.greatest("y1", "y2")})
 
 
 def _sweep(px: np.ndarray, py: np.ndarray, pg: np.ndarray, e: dict[str, np.ndarray], eg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
