@@ -47,7 +47,7 @@ def _traverse(pdf: pd.DataFrame) -> pd.DataFrame:
     """Depth-first over whole components, without recursion. White nodes are unseen, grey ones open, black ones done; a grey parent closes a loop."""
     ids, names = pdf["id"].to_numpy(), pdf["name"].tolist()
     place = {int(v): i for i, v in enumerate(ids)}
-    parent = [place[int(p)] if p == p and p is not None else -1 for p in pdf["parent"].astype("object")]
+    parent = [place[p] if linked else -1 for p, linked in zip(pdf["parent"].tolist(), pdf["linked"])]
     n = len(ids)
     colour, state = bytearray(n), ["tree"] * n
     for start in range(n):  # up the parents: each node has one, so the walk up is the traversal that finds back edges
@@ -137,7 +137,7 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, name_col: str | None
     total, any_large = located.count(), large.count() > 0
     small = located.join(large, "comp", "left_anti") if any_large else located
     bins = max(1, -(-total // BIN_NODES))
-    out = small.select("id", "parent", "name", F.pmod(F.xxhash64("comp"), F.lit(4 * bins)).alias("bin")).groupBy("bin").applyInPandas(_traverse, FOUND)
+    out = small.select("id", F.coalesce("parent", "id").alias("parent"), F.col("parent").isNotNull().alias("linked"), "name", F.pmod(F.xxhash64("comp"), F.lit(4 * bins)).alias("bin")).groupBy("bin").applyInPandas(_traverse, FOUND)
     return out.unionByName(_followed(located.join(large, "comp", "left_semi"), cut)) if any_large else out
 
 
