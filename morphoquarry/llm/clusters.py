@@ -16,8 +16,9 @@ LEAVES = 400
 RADIUS = 0.05
 #: Trees merged at a time in the reduction.
 FAN_IN = 16
-#: Most groups whose leaves and statistics are broadcast; beyond it groups are handled in blocks of so many.
-BROADCAST_GROUPS = 2_000
+#: Most groups whose leaves (at most LEAVES each) and statistics are broadcast; more are joined by group, large groups in parts of PART_ROWS.
+BROADCAST_GROUPS = 500
+PART_ROWS = 100_000
 NUM_COLS = ("intensity_mean", "area", "eccentricity", "intensity_std")
 
 
@@ -240,7 +241,11 @@ def similarity_clusters(df: DataFrame, id_col: str, group: str, num_cols: tuple[
             centre, label = np.vstack(leaf["centre"].to_numpy()), leaf["cluster"].to_numpy(np.int64)
             return _assigned(pdf, centre, label, _centroids(centre, leaf["count"].to_numpy(float), label))
 
-        members = standard.groupBy("g").cogroup(named.groupBy("g")).applyInPandas(assign_group, assigned)
+        sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts")).withColumnRenamed("g", "g2")
+        same = F.col("g").eqNullSafe(F.col("g2"))
+        parted = standard.join(sizes, same).drop("g2").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+        copies = named.join(sizes, same).drop("g2").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        members = parted.groupBy("g", "part").cogroup(copies.groupBy("g", "part")).applyInPandas(assign_group, assigned)
     members = cut.table(members)
     first = members.withColumn("bin", F.pmod(F.xxhash64("id"), F.lit(256))).groupBy("g", "cluster", "bin")
     local = first.applyInPandas(lambda p: p.nsmallest(1, "id")[["g", "cluster"]].assign(n=len(p), rep_id=p["id"].min(), near=[[(float(d), int(i)) for d, i in sorted(zip(p["distance"], p["id"]))[:typical]]]), f"g {kind}, cluster int, n long, rep_id long, near array<struct<distance:double,id:long>>")

@@ -23,10 +23,12 @@ ONE_IN = 7
 #: Items of a block; the corpus is read once for each block, whose words and fingerprints (under 30 MB) are broadcast.
 BLOCK_ITEMS = 20_000
 
-_TAGS = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|</?[A-Za-z][^<>]*>", re.S | re.I)
+_TAGS = re.compile(r"</?[A-Za-z!][^<>]*>")
+#: Blocks that hold no text, with what ends them.
+_BLOCKS = ((re.compile(r"<!--.*?-->", re.S), "-->"), (re.compile(r"<script\b.*?</script\s*>", re.S | re.I), "</script"), (re.compile(r"<style\b.*?</style\s*>", re.S | re.I), "</style"))
 _INLINE = re.compile(r"</?(?:a|abbr|b|code|em|font|i|mark|s|small|span|strong|sub|sup|tt|u)\b[^<>]*>", re.I)
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^()\s]*\)")
-_BREAK = re.compile(r"[-­‐‑]\s*(?:\n[ \t>*+|#\-]*)+(?=[^\W\d_])")
+_BREAK = re.compile(r"(?<=\w)[-\u00ad\u2010\u2011][ \t]*+(?>(?:\n[ \t>*+|#\-]*+)++)(?=[^\W\d_])")
 _SIGN = r"[>|*+#•·‣\-–—]+|\[[ xX]?\]|\[\d{1,2}:\d{2}(?::\d{2})?\](?:\s*\w+:)?"
 _COUNT = r"\(?(?:\d{1,4}|[A-Za-z])[.):]|\d{1,4}(?=\t| {2,})"
 #: What may stand before a line's words. A number there may be a mark or the text's own, so each reading is tried.
@@ -36,6 +38,16 @@ _HIDDEN = re.compile(r"[­​-‏⁠﻿‪-‮]")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _without_blocks(text: str) -> str:
+    """Only what lies before the last end of a block is searched, so that every opening found is closed and the search stays linear."""
+    for block, end in _BLOCKS:
+        last = text.lower().rfind(end) if end != "-->" else text.rfind(end)
+        if last >= 0:
+            last = text.find(">", last) + 1 or len(text)
+            text = block.sub("\n", text[:last]) + text[last:]
+    return text
+
+
 def readings(text: str | None) -> list[list[str]]:
     """The words by which texts are compared: without markup, line marks, hyphens of line breaks, case, punctuation or variant encodings.
 
@@ -47,7 +59,7 @@ def readings(text: str | None) -> list[list[str]]:
     text = unicodedata.normalize("NFKC", html.unescape(text)) if "&" in text or not text.isascii() else text
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "<" in text:
-        text = _TAGS.sub("\n", _INLINE.sub("", text))
+        text = _TAGS.sub("\n", _INLINE.sub("", _without_blocks(text)))
     if "](" in text:
         text = _LINK.sub(r"\1", text)
     if not text.isascii():

@@ -41,7 +41,7 @@ def token_counter(path: str):
 
 
 def measured(df: DataFrame, id_col: str, text_col: str, path: str | None = None) -> DataFrame:
-    """(id, n_tokens) by a public tokenizer."""
+    """(id, n_tokens) by a public tokenizer; NULL and empty texts have 0 tokens, rows with a NULL id are left out."""
     path = path or vocabulary_path()
 
     def run(batches):
@@ -49,7 +49,7 @@ def measured(df: DataFrame, id_col: str, text_col: str, path: str | None = None)
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "n_tokens": count(pdf["text"])})
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n_tokens long")
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n_tokens long")
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int, int]:

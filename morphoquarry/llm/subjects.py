@@ -238,6 +238,8 @@ def subject_areas(documents: DataFrame, id_col: str, text_col: str, lang_col: st
     labels that fit, nothing is assigned. All counts, the embedding and the centroids are made over all documents.
     """
     spark, cut = documents.sparkSession, Cut(documents.sparkSession)
+    if not subjects:
+        return documents.select(F.col(id_col).cast("long").alias("id"), F.lit("").alias("subject")).limit(0)
     number = {s: k for k, s in enumerate(subjects)}
     docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = docs.select("lang", "text").mapInPandas(_count_terms, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
