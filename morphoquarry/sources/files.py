@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import json
 import os
@@ -16,8 +17,21 @@ from morphoquarry.operators.geometry import RING
 
 
 def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, name, suffix, stem, modified, size) of the files below a folder; contents aren't read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    """(path, name, suffix, stem, modified, size) of the files below a folder, empty ones included; contents aren't read.
+
+    The driver lists names, as it does for any scan; a folder that isn't there gives no rows.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    if fs.exists(root):
+        each = fs.listFiles(root, True)
+        while each.hasNext():
+            f = each.next()
+            if fnmatch.fnmatchcase(f.getPath().getName(), glob):
+                found.append((f.getPath().toString(), f.getModificationTime(), f.getLen()))
+    files = spark.createDataFrame(found, "path string, ms long, size long").select("path", F.timestamp_millis("ms").alias("modified"), "size")
     name = F.element_at(F.split("path", "/"), -1)
     return files.select("path", name.alias("name"), F.nullif(F.regexp_extract(name, r"(\.[^.]+)$", 1), F.lit("")).alias("suffix"), F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), "modified", "size")
 
