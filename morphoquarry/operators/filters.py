@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from morphoquarry.operators.twostage import with_percentiles
+
 Range = tuple[float | None, float | None]
 
 
@@ -123,11 +125,12 @@ def zero_filled_counts(df: DataFrame, id_col: str, ids: list[int]) -> DataFrame:
     return every.join(df.groupBy(F.col(id_col).cast("long").alias(id_col)).agg(F.count(F.lit(1)).alias("n")), id_col, "left").select(id_col, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def outside_mad(value: Column, window) -> Column:
-    """Whether a value is an outlier by the MAD-median rule: |x − median| / (MAD / 0.6745) above √χ²(0.975, 1)."""
-    x = F.nanvl(value, F.lit(None).cast("double"))
-    away = F.abs(x - F.median(x).over(window))
-    return F.coalesce(F.try_divide(away * 0.6745, F.median(away).over(window)) > 2.241402727604945, F.lit(False))
+def mad_outliers(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Rows whose value is an outlier of its group by the MAD-median rule: |x − median| / (MAD / 0.6745) above √χ²(0.975, 1). No outliers where MAD is 0."""
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    away = with_percentiles(rows, keys, value, [0.5], "_q").withColumn("_away", F.abs(F.col(value) - F.col("_q")[0])).drop("_q")
+    test = F.try_divide(F.col("_away") * 0.6745, F.col("_mad")[0]) > 2.241402727604945
+    return with_percentiles(away, keys, "_away", [0.5], "_mad").where(F.coalesce(test, F.lit(False))).drop("_away", "_mad")
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:

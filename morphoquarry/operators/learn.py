@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from morphoquarry.operators.twostage import with_percentiles
+
 #: Rows that k-medoids are fitted on, and repeats; the whole table is assigned.
 CLARA_SAMPLE, CLARA_REPEATS = 2_000, 5
 #: Most categories of a column that is one-hot encoded; they become columns.
@@ -40,10 +42,12 @@ def standard_scaled(df: DataFrame, features: list[str], keys: list[str] = []) ->
 
 def robust_scaled(df: DataFrame, features: list[str], keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Features less their median over the range from the first to the third quartile (interpolated); 0 where that range is 0."""
-    q = {"a": lambda c: F.percentile(c, 0.25), "b": F.median, "c": lambda c: F.percentile(c, 0.75)}
-    w = _wide(df, features, keys, q)
-    scaled = {f: F.when(F.col(f).isNotNull(), F.coalesce(F.try_divide(F.col(f) - F.col(f"_b_{f}"), F.col(f"_c_{f}") - F.col(f"_a_{f}")), F.lit(0.0))) for f in features}
-    return w.withColumns(scaled).drop(*[f"_{n}_{f}" for f in features for n in "abc"])
+    out = df
+    for f in features:
+        q = F.col("_q")
+        scaled = F.coalesce(F.try_divide(F.col(f) - q[1], q[2] - q[0]), F.lit(0.0))
+        out = with_percentiles(out, keys, f, [0.25, 0.5, 0.75], "_q").withColumn(f, F.when(F.col(f).isNotNull(), scaled)).drop("_q")
+    return out
 
 
 def principal_components(df: DataFrame, features: list[str], keep: int | float) -> tuple[DataFrame, np.ndarray, np.ndarray]:

@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from morphoquarry.functions import special
-
-#: Value ranges into which ranking parts a key's rows.
-RANK_RANGES = 64
+from morphoquarry.operators.twostage import carried, parted, percentiles, ranked, with_statistics
 
 
 def _p(fn, *columns):
@@ -74,27 +72,11 @@ def anova(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
 
 def levene(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
     """Median-centred: the analysis of variance of distances to the group's median."""
-    medians = df.where(F.col(value).isNotNull()).groupBy(*keys, group).agg(F.median(value).alias("_median"))
-    away = df.join(medians, [*keys, group]).withColumn("_away", F.abs(F.col(value) - F.col("_median")))
+    medians = percentiles(df.where(F.col(group).isNotNull()), [*keys, group], value, [0.5], "_median")
+    away = df.join(medians, [*keys, group]).withColumn("_away", F.abs(F.col(value) - F.col("_median")[0]))
     return anova(away, keys, group, "_away").withColumnRenamed("f", "w").drop("eta2")
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, out: str = "rank") -> DataFrame:
-    """Adds the average rank within the key (ties share it) and ``_ties``, the number of equal values.
-
-    A key's rows are parted by value ranges, so no task ranks a whole key: ranges are cut at approximate percentiles
-    and counted, and ranks within a range start after those below. Rows without a value must be left out before.
-    """
-    shares = [F.lit((i + 1) / RANK_RANGES) for i in range(RANK_RANGES - 1)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(*shares), 1000).alias("_cuts"))
-    parted = df.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    counts = parted.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"))
-    below = counts.withColumn("_below", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_c")).drop("_c")
-    here = Window.partitionBy(*keys, "_range")
-    local = parted.withColumn("_first", F.rank().over(here.orderBy(value))).withColumn("_ties", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_range", value)))
-    return local.join(below, [*keys, "_range"]).withColumn(out, F.col("_below") + F.col("_first") + (F.col("_ties") - 1) / 2).drop("_below", "_first", "_range")
-
-
 def mann_whitney(df: DataFrame, keys: list[str], group: str, a, b, value: str) -> DataFrame:
     """(keys, n_a, n_b, u, p): U of the first group, two-sided p."""
     rows = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(*keys, group, value)
@@ -124,14 +106,10 @@ def ks_two_samples(df: DataFrame, keys: list[str], group: str, a, b, value: str)
     """
     rows = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
     counted = rows.groupBy(*keys, value).agg(F.count(F.when(F.col(group) == a, 1)).alias("_a"), F.count(F.when(F.col(group) == b, 1)).alias("_b"))
-    shares = [F.lit((i + 1) / RANK_RANGES) for i in range(RANK_RANGES - 1)]
-    cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, F.array(*shares), 1000).alias("_cuts"), F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"))
-    parted = counted.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    per = parted.groupBy(*keys, "_range").agg(F.sum("_a").alias("_ra"), F.sum("_b").alias("_rb"))
-    w = Window.partitionBy(*keys).orderBy("_range")
-    below = per.select(*keys, "_range", (F.sum("_ra").over(w) - F.col("_ra")).alias("_ba"), (F.sum("_rb").over(w) - F.col("_rb")).alias("_bb"))
+    rows = with_statistics(parted(counted, keys, value), keys, {"n_a": F.sum("_a"), "n_b": F.sum("_b")})
+    below = carried(rows, keys, {"_ba": F.sum("_a"), "_bb": F.sum("_b")})
     here = Window.partitionBy(*keys, "_range").orderBy(value)
-    upto = parted.join(below, [*keys, "_range"]).withColumns({"_ca": F.col("_ba") + F.sum("_a").over(here), "_cb": F.col("_bb") + F.sum("_b").over(here)})
+    upto = below.withColumns({"_ca": F.coalesce("_ba", F.lit(0)) + F.sum("_a").over(here), "_cb": F.coalesce("_bb", F.lit(0)) + F.sum("_b").over(here)})
     gap = F.abs(F.try_divide("_ca", "n_a") - F.try_divide("_cb", "n_b"))
     s = upto.groupBy(*keys).agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.max(gap).alias("d"))
     return s.withColumn("p", _p(lambda d, x, y: special.kolmogorov_sf(d, x * y / (x + y)), "d", "n_a", "n_b"))

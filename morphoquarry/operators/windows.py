@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from morphoquarry.operators.twostage import carried, parted, ranked, shuffled_rank, stable, with_percentiles, with_statistics
 
-def zscore(value: Column, keys: list[str], zero_if_constant: bool = False) -> Column:
-    """Distance to the group's mean in sample deviations; NULL, or 0 on request, where the deviation is 0 or unknown."""
-    w = Window.partitionBy(*keys)
-    z = F.try_divide(value - F.avg(value).over(w), F.stddev_samp(value).over(w))
-    return F.when(value.isNotNull(), F.coalesce(z, F.lit(0.0))) if zero_if_constant else z
 
+def zscore(df: DataFrame, value: str, keys: list[str], out: str = "z", zero_if_constant: bool = False) -> DataFrame:
+    """Adds the distance to the group's mean in sample deviations; NULL, or 0 on request, where the deviation is 0 or unknown."""
+    rows = with_statistics(df, keys, {"_m": F.avg(value), "_d": F.stddev_samp(value)})
+    z = F.try_divide(F.col(value) - F.col("_m"), F.col("_d"))
+    return rows.withColumn(out, F.when(F.col(value).isNotNull(), F.coalesce(z, F.lit(0.0))) if zero_if_constant else z).drop("_m", "_d")
 
-def median_distance(value: Column, keys: list[str]) -> Column:
-    return F.abs(value - F.median(value).over(Window.partitionBy(*keys)))
+
+def median_distance(df: DataFrame, value: str, keys: list[str], out: str = "away") -> DataFrame:
+    rows = with_percentiles(df, keys, value, [0.5], "_q")
+    return rows.withColumn(out, F.abs(F.col(value) - F.col("_q")[0])).drop("_q")
 
 
 def band_rows(df: DataFrame, value: str, keys: list[str], bands: dict[str, tuple[float | None, float | None, str]]) -> DataFrame:
@@ -23,9 +26,8 @@ def band_rows(df: DataFrame, value: str, keys: list[str], bands: dict[str, tuple
     A band is (low share, high share, closed) with closed one of 'low', 'high', 'both', 'neither'; None is open. The
     limits are interpolated percentiles of the group. Rows without a value are in no band.
     """
-    w = Window.partitionBy(*keys)
     shares = sorted({q for lo, hi, _ in bands.values() for q in (lo, hi) if q is not None})
-    at = df.where(F.col(value).isNotNull()).withColumn("_mq_q", F.percentile(value, F.array(*[F.lit(q) for q in shares])).over(w))
+    at = with_percentiles(df.where(F.col(value).isNotNull()), keys, value, shares, "_mq_q")
     limit = lambda q: F.col("_mq_q")[shares.index(q)]
     tests = []
     for name, (lo, hi, closed) in bands.items():
@@ -38,43 +40,50 @@ def band_rows(df: DataFrame, value: str, keys: list[str], bands: dict[str, tuple
     return at.withColumn("band", F.explode(F.array_compact(F.array(*tests)))).drop("_mq_q")
 
 
+def ecdf(df: DataFrame, value: str, keys: list[str], out: str = "ecdf") -> DataFrame:
+    """Adds the share of the group's values that are not greater."""
+    rows = ranked(df.where(F.col(value).isNotNull()), keys, value, "_r")
+    upto = F.col("_r") + (F.col("_ties") - 1) / 2
+    return with_statistics(rows, keys, {"_n": F.count(F.lit(1))}).withColumn(out, upto / F.col("_n")).drop("_r", "_ties", "_n")
+
+
 def representatives(df: DataFrame, subject: str, within: list[str], values: list[str], n: int) -> DataFrame:
     """(within, subject, mean_distance, rank): the n subjects whose values lie nearest to their group's medians, by z-scores."""
     long = df.unpivot([subject, *within], values, "variable", "value").where("value IS NOT NULL")
-    scored = long.withColumn("z", zscore(F.col("value"), [*within, "variable"], zero_if_constant=True))
-    away = scored.withColumn("away", median_distance(F.col("z"), [*within, "variable"])).groupBy(*within, subject).agg(F.avg("away").alias("mean_distance"))
+    scored = stable(zscore(long, "value", [*within, "variable"], zero_if_constant=True))
+    away = median_distance(scored, "z", [*within, "variable"]).groupBy(*within, subject).agg(F.avg("away").alias("mean_distance"))
     rank = F.row_number().over(Window.partitionBy(*within).orderBy(F.round("mean_distance", 9), subject))
     return away.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
 def adjusted(df: DataFrame, p: str, keys: list[str], method: str = "fdr_bh", out: str = "q") -> DataFrame:
     """Adds p-values corrected for the number of tests per key: Benjamini–Hochberg or Bonferroni; NULL and NaN are no tests."""
+    df = stable(df)
     real = F.col(p).isNotNull() & ~F.isnan(p)
-    tests = df.withColumn("_mq_p", F.when(real, F.col(p)))
-    w = Window.partitionBy(*keys)
-    m = F.count("_mq_p").over(w)
+    tests = with_statistics(df.where(real).withColumn("_p", F.col(p)), keys, {"_m": F.count(F.lit(1))})
+    rest = df.where(~F.coalesce(real, F.lit(False))).withColumn(out, F.lit(None).cast("double"))
     if method == "bonferroni":
-        return tests.withColumn(out, F.least(F.col("_mq_p") * m, F.lit(1.0))).drop("_mq_p")
-    if method != "fdr_bh":
+        done = tests.withColumn(out, F.least(F.col("_p") * F.col("_m"), F.lit(1.0)))
+    elif method == "fdr_bh":
+        ranks = ranked(tests, keys, "_p", "_r")
+        raw = parted(ranks.withColumn("_raw", F.col("_p") * F.col("_m") / (F.col("_r") + (F.col("_ties") - 1) / 2)), keys, "_p")
+        later = carried(raw, keys, {"_later": F.min("_raw")}, descending=True, how=F.min)
+        here = F.min("_raw").over(Window.partitionBy(*keys, "_range").orderBy(F.col("_p").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        done = later.withColumn(out, F.least(here, F.col("_later"), F.lit(1.0)))
+    else:
         raise ValueError(method)
-    rank = F.count("_mq_p").over(w.orderBy(F.col("_mq_p").asc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    raw = tests.withColumn("_mq_raw", F.col("_mq_p") * m / rank)
-    back = w.orderBy(F.col("_mq_p").desc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return raw.withColumn(out, F.when(F.col("_mq_p").isNotNull(), F.least(F.min("_mq_raw").over(back), F.lit(1.0)))).drop("_mq_p", "_mq_raw")
+    return done.select(*df.columns, out).unionByName(rest)
 
 
 def shuffled_within(df: DataFrame, value: str, keys: list[str], order: list[str], seed: int, out: str) -> DataFrame:
     """Adds the values of the group in a random order that the seed and the rows fix; a permutation of each group."""
-    w = Window.partitionBy(*keys)
-    by_row = df.withColumn("_mq_k", F.row_number().over(w.orderBy(*order)))
-    draw = F.xxhash64(F.lit(seed), *[F.col(c) for c in order])
-    other = df.select(*[F.col(k).alias(f"_mq_{k}") for k in keys], F.col(value).alias(out), F.row_number().over(w.orderBy(draw, *order)).alias("_mq_k2"))
+    mine = shuffled_rank(df, keys, order, seed, "_mq_k")
+    other = shuffled_rank(df, keys, order, seed + 1, "_k2").select(*[F.col(k).alias(f"_mq_{k}") for k in keys], F.col(value).alias(out), F.col("_k2").alias("_mq_k2"))
     on = [F.col(k).eqNullSafe(F.col(f"_mq_{k}")) for k in keys] + [F.col("_mq_k") == F.col("_mq_k2")]
-    return by_row.join(other, on).drop("_mq_k", "_mq_k2", *[f"_mq_{k}" for k in keys])
+    return mine.join(other, on).drop("_mq_k", "_mq_k2", *[f"_mq_{k}" for k in keys])
 
 
 def equal_samples(df: DataFrame, keys: list[str], order: list[str], seed: int) -> DataFrame:
     """As many random rows of each group as the smallest group has."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 0
-    draw = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in order]), *order))
-    return df.withColumn("_mq_r", draw).where(F.col("_mq_r") <= sizes).drop("_mq_r")
+    least = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 0
+    return shuffled_rank(df, keys, order, seed, "_mq_r").where(F.col("_mq_r") <= least).drop("_mq_r")

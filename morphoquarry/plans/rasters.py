@@ -81,7 +81,7 @@ def skeleton_lengths(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT obj_id, round((v - min(v) OVER p) / (max(v) OVER p - min(v) OVER p), 9) AS scaled FROM (SELECT obj_id, colocal_id, greatest(least(intensity_mean, 5000), 0) AS v FROM {OBJ} WHERE intensity_mean IS NOT NULL) WINDOW p AS (PARTITION BY colocal_id)")
 def min_max_normalise(spark: SparkSession, d: str) -> DataFrame:
     rows = objects(spark, d).where("intensity_mean IS NOT NULL")
-    return rows.select("obj_id", F.round(normalise.min_max(F.col("intensity_mean"), ["colocal_id"], (0.0, 5000.0)), 9).alias("scaled"))
+    return normalise.min_max(rows, "intensity_mean", ["colocal_id"], "scaled", (0.0, 5000.0)).select("obj_id", F.round("scaled", 9).alias("scaled"))
 
 
 @query(f"{_TREE} SELECT id, ids[3] AS level_3 FROM tree WHERE depth >= 3")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphoquarry.operators import filters as f
@@ -116,11 +116,7 @@ def coordinate_box_filter(spark: SparkSession, d: str) -> DataFrame:
 a AS (SELECT *, median(abs(intensity_mean - med)) OVER (PARTITION BY colocal_id) AS mad FROM m)
 SELECT obj_id, colocal_id, intensity_mean FROM a WHERE mad > 0 AND abs(intensity_mean - med) * 0.6745 / mad > 2.241402727604945""")
 def mad_outliers(spark: SparkSession, d: str) -> DataFrame:
-    rows = objects(spark, d).where("intensity_mean IS NOT NULL")
-    w = Window.partitionBy("colocal_id")
-    medians = rows.withColumn("_away", F.abs(F.col("intensity_mean") - F.median("intensity_mean").over(w)))
-    rule = F.try_divide(F.col("_away") * 0.6745, F.median("_away").over(w)) > 2.241402727604945
-    return medians.withColumn("_out", F.coalesce(rule, F.lit(False))).where("_out").select("obj_id", "colocal_id", "intensity_mean")
+    return f.mad_outliers(objects(spark, d), "intensity_mean", ["colocal_id"]).select("obj_id", "colocal_id", "intensity_mean")
 
 
 @query("""WITH spec(colocal_id, inherited_id) AS (VALUES (3, 2), (4, 2), (4, 3)), o AS (SELECT * FROM {OBJ})

@@ -24,12 +24,12 @@ def query(sql: str | None = None):
 
 @query("SELECT obj_id, round((intensity_mean - avg(intensity_mean) OVER p) / nullif(stddev_samp(intensity_mean) OVER p, 0), 6) AS z FROM {OBJ} WINDOW p AS (PARTITION BY dend_id, colocal_id)")
 def zscore_in_group(spark: SparkSession, d: str) -> DataFrame:
-    return objects(spark, d).select("obj_id", F.round(w.zscore(F.col("intensity_mean"), ["dend_id", "colocal_id"]), 6).alias("z"))
+    return w.zscore(objects(spark, d), "intensity_mean", ["dend_id", "colocal_id"]).select("obj_id", F.round("z", 6).alias("z"))
 
 
 @query("SELECT obj_id, round(abs(intensity_mean - median(intensity_mean) OVER (PARTITION BY ex_i)), 6) AS away FROM {OBJ}")
 def distance_to_median(spark: SparkSession, d: str) -> DataFrame:
-    return objects(spark, d).select("obj_id", F.round(w.median_distance(F.col("intensity_mean"), ["ex_i"]), 6).alias("away"))
+    return w.median_distance(objects(spark, d), "intensity_mean", ["ex_i"]).select("obj_id", F.round("away", 6).alias("away"))
 
 
 @query("""WITH q AS (SELECT obj_id, colocal_id, intensity_mean AS v, quantile_cont(intensity_mean, 0.25) OVER p AS a, quantile_cont(intensity_mean, 0.75) OVER p AS b FROM {OBJ} WHERE intensity_mean IS NOT NULL WINDOW p AS (PARTITION BY colocal_id))
@@ -85,9 +85,7 @@ def equal_downsampling(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT obj_id, round(cume_dist() OVER (PARTITION BY colocal_id ORDER BY intensity_mean), 9) AS ecdf FROM {OBJ} WHERE intensity_mean IS NOT NULL")
 def ecdf(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return objects(spark, d).where("intensity_mean IS NOT NULL").select("obj_id", F.round(F.cume_dist().over(Window.partitionBy("colocal_id").orderBy("intensity_mean")), 9).alias("ecdf"))
+    return w.ecdf(objects(spark, d), "intensity_mean", ["colocal_id"]).select("obj_id", F.round("ecdf", 9).alias("ecdf"))
 
 
 @query("""SELECT colocal_id, bin, round(100 * n / sum(n) OVER (PARTITION BY colocal_id), 6) AS percent FROM (SELECT colocal_id, CAST(floor(least(intensity_mean, 4999) / 250) AS BIGINT) AS bin, count(*) AS n FROM {OBJ} WHERE intensity_mean IS NOT NULL GROUP BY ALL)""")

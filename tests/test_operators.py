@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from morphoquarry.functions import axes, normalise, special
-from morphoquarry.operators import aggregate, filters, geometry, graph, learn, morphology, neighbours, reshape, sets, stats, windows
+from morphoquarry.operators import aggregate, filters, geometry, graph, learn, morphology, neighbours, reshape, sets, stats, twostage, windows
 from morphoquarry.plans.stages import Stage, ordered, run
 from morphoquarry.sources import files, sinks
 from morphoquarry.sources.synthetic import example_objects
@@ -201,8 +201,8 @@ def test_windows(spark):
     q = {r.id: r.q for r in windows.adjusted(df, "p", ["k"]).collect()}
     assert [q[i] for i in (1, 2, 3, 4)] == pytest.approx([0.04, 0.04, 0.04, 0.5]) and q[5] is None and q[6] is None and q[7] == 0.4
     assert {r.id: r.q for r in windows.adjusted(df, "p", ["k"], "bonferroni").collect()}[4] == 1.0
-    z = windows.zscore(F.col("v"), ["k"], zero_if_constant=True)
-    assert [r.z for r in spark.createDataFrame([("a", 1.0), ("a", 1.0)], "k string, v double").select(z.alias("z")).collect()] == [0.0, 0.0]
+    same = spark.createDataFrame([("a", 1.0), ("a", 1.0)], "k string, v double")
+    assert [r.z for r in windows.zscore(same, "v", ["k"], zero_if_constant=True).collect()] == [0.0, 0.0]
 
 
 def test_statistics_edges(spark):
@@ -316,7 +316,8 @@ def test_axes():
 
 def test_normalise(spark):
     df = spark.createDataFrame([("a", 0.0), ("a", 10.0), ("b", 5.0), ("b", None)], "k string, v double")
-    r = df.select(normalise.min_max(F.col("v"), ["k"]).alias("m"), normalise.to_bits(F.col("v") / 10, 8).alias("b"), normalise.match_mean(F.col("v"), ["k"], 10.0).alias("t")).collect()
+    r = normalise.match_mean(normalise.min_max(df, "v", ["k"], "m"), "v", ["k"], 10.0, "t").withColumn("b", normalise.to_bits(F.col("v") / 10, 8)).collect()
+    assert {x.p for x in normalise.percentile_norm(df, "v", ["k"], "p", 0.0, 1.0).collect()} == {0.0, 1.0, None}
     assert sorted((x.m, x.b, x.t) for x in r if x.m is not None) == [(0.0, 0, 0.0), (0.0, 128, 10.0), (1.0, 255, 20.0)]
 
 
@@ -329,3 +330,24 @@ def test_generator_and_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.n for r in spark.table("late").collect()} == {2, 1}
+
+
+@pytest.mark.parametrize("kind", ["smooth", "ties", "few"])
+def test_two_stage(spark, kind):
+    rng = np.random.default_rng(3)
+    values = {"smooth": rng.normal(size=3000), "ties": rng.integers(0, 6, 3000).astype(float), "few": np.array([4.0, 1.0, 7.0])}[kind]
+    rows = [("hot" if i % 5 else None, float(v), i) for i, v in enumerate(values)] + [("hot", None, 9001), ("hot", math.nan, 9002)]
+    df = spark.createDataFrame(rows, "k string, v double, i int")
+    got = {r.k: r.q for r in twostage.percentiles(df, ["k"], "v", [0.0, 0.1, 0.5, 0.975, 1.0], "q").collect()}
+    clean = df.where("v IS NOT NULL AND NOT isnan(v)")
+    ranks = {r.i: (r["rank"], r._ties) for r in twostage.ranked(clean, ["k"], "v").collect()}
+    for k in ("hot", None):
+        own = np.array([r[1] for r in rows[:-2] if r[0] == k])
+        assert got[k] == pytest.approx(np.quantile(own, [0.0, 0.1, 0.5, 0.975, 1.0]), abs=1e-12)
+        for _, v, i in [r for r in rows[:-2] if r[0] == k][:200]:
+            assert ranks[i] == ((own < v).sum() + ((own == v).sum() + 1) / 2, (own == v).sum())
+    order = [r.n for r in twostage.shuffled_rank(df, ["k"], ["i"], 1, "n").where("k = 'hot'").collect()]
+    assert sorted(order) == list(range(1, len(order) + 1))
+    assert twostage.percentiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
+    whole = twostage.with_percentiles(clean, [], "v", [0.5], "q").first()
+    assert whole.q[0] == pytest.approx(np.median(values))
