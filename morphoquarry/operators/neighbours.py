@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from morphoquarry.operators.kdsplit import fit_on, group_rank, routed
-from morphoquarry.operators.proximity import AXES, _finite, _keyed, near_pairs, polygon_edges
+from morphoquarry.operators.proximity import AXES, SWEEP_ROWS, _finite, _keyed, near_pairs, polygon_edges
 
 #: Rows of a cell in which every query is held against every row of its group.
 KNN_CELL = 2_000
@@ -149,25 +149,34 @@ def outline_distances(points: DataFrame, id_col: str, x: Column, y: Column, poin
     def measure(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         p = p.drop_duplicates("id", ignore_index=True)
         e = e.drop_duplicates(ignore_index=True)
-        groups = group_rank(pd.concat([p[["g1", "g2"]], e[["g1", "g2"]]], ignore_index=True), ["g1", "g2"]) if len(p) and len(e) else np.zeros(0, int)
-        out = []
-        if len(groups):
+        out = [pd.DataFrame({"id": np.zeros(0, int), "poly": np.zeros(0, int), "distance": np.zeros(0)})]
+        if len(p) and len(e):
+            groups = group_rank(pd.concat([p[["g1", "g2"]], e[["g1", "g2"]]], ignore_index=True), ["g1", "g2"])
             pg, eg = groups[: len(p)], groups[len(p) :]
             px, py = p["c0"].to_numpy(float), p["c1"].to_numpy(float)
+            x1, y1, x2, y2 = (e[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2"))
             order = np.lexsort((px, pg))
-            for k, (x1, y1, x2, y2) in enumerate(e[["x1", "y1", "x2", "y2"]].to_numpy(float)):
-                lo, hi = np.searchsorted(pg[order], eg[k]), np.searchsorted(pg[order], eg[k], "right")
-                run = order[lo:hi]
-                lo, hi = np.searchsorted(px[run], min(x1, x2) - radius), np.searchsorted(px[run], max(x1, x2) + radius, "right")
-                run = run[lo:hi]
-                dx, dy = x2 - x1, y2 - y1
-                t = np.clip(((px[run] - x1) * dx + (py[run] - y1) * dy) / max(dx * dx + dy * dy, 1e-300), 0, 1)
-                d = np.hypot(px[run] - (x1 + t * dx), py[run] - (y1 + t * dy))
+            lift = 2 * float(max(np.abs(px).max(), np.abs(x1).max(), np.abs(x2).max())) + 2 * radius + 2
+            line = pg[order] * lift + px[order]
+            slack = abs(line[-1]) * 1e-14
+            first, last = np.searchsorted(pg[order], eg), np.searchsorted(pg[order], eg, "right")
+            lo = np.clip(np.searchsorted(line, eg * lift + np.minimum(x1, x2) - radius - slack), first, last)
+            hi = np.clip(np.searchsorted(line, eg * lift + np.maximum(x1, x2) + radius + slack, "right"), first, last)
+            count, at = np.maximum(hi - lo, 0), 0
+            total = np.cumsum(count)
+            while at < len(count):
+                upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SWEEP_ROWS, "right")))
+                n = count[at:upto]
+                k = np.repeat(np.arange(at, upto), n)
+                i = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:upto], n)]
+                near = (py[i] >= np.minimum(y1[k], y2[k]) - radius) & (py[i] <= np.maximum(y1[k], y2[k]) + radius)
+                k, i = k[near], i[near]
+                dx, dy = x2[k] - x1[k], y2[k] - y1[k]
+                t = np.clip(((px[i] - x1[k]) * dx + (py[i] - y1[k]) * dy) / np.maximum(dx * dx + dy * dy, 1e-300), 0, 1)
+                d = np.hypot(px[i] - (x1[k] + t * dx), py[i] - (y1[k] + t * dy))
                 near = d <= radius
-                if near.any():
-                    out.append(pd.DataFrame({"id": p["id"].to_numpy()[run[near]], "poly": e["poly"].iloc[k], "distance": d[near]}))
-        if not out:
-            return pd.DataFrame({"id": np.zeros(0, int), "poly": np.zeros(0, int), "distance": np.zeros(0)})
+                out.append(pd.DataFrame({"id": p["id"].to_numpy()[i[near]], "poly": e["poly"].to_numpy()[k[near]], "distance": d[near]}))
+                at = upto
         return pd.concat(out).groupby(["id", "poly"], as_index=False)["distance"].min()
 
     return at.groupBy("cell").cogroup(cut.groupBy("cell")).applyInPandas(measure, "id long, poly long, distance double")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from morphoquarry.operators import graph as g
 from morphoquarry.operators import learn as l
 from morphoquarry.operators.filters import top_per_key
+from morphoquarry.operators.twostage import stable
 from morphoquarry.plans.aggregates import PITCH, voxels
 from morphoquarry.plans.stats import _PAIRS_SQL, FEATURES, SYN_SQL, _pairs, _synapses
 from morphoquarry.sources.tables import OBJECTS_SQL, table
@@ -28,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return g.threshold_edges(_pairs(spark, d), "region_a", "region_b", "r", R).select("treatment", "src", "dst", "weight")
+    return stable(g.threshold_edges(_pairs(spark, d), "region_a", "region_b", "r", R).select("treatment", "src", "dst", "weight"))
 
 
 @query("SELECT treatment, src, dst, round(weight, 6) AS weight FROM {E}")
