@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from morphoquarry.session import Cut
@@ -39,15 +39,19 @@ class FeatureTree:
 
     def insert(self, count: np.ndarray, total: np.ndarray, square: np.ndarray) -> None:
         for at in range(0, len(count), 2048):
-            self._block(count[at : at + 2048], total[at : at + 2048], square[at : at + 2048])
-            while len(self.count) > self.limit:
-                old = (self.count, self.total, self.square)
-                self.radius *= 1.5
-                self._clear()
-                for b in range(0, len(old[0]), 2048):
-                    self._block(*[x[b : b + 2048] for x in old])
-
-    def _block(self, count: np.ndarray, total: np.ndarray, square: np.ndarray) -> None:
+            rest = np.arange(at, min(at + 2048, len(count)))
+            while len(rest):
+                rest = rest[self._block(count[rest], total[rest], square[rest])]
+                while len(self.count) > self.limit:
+                    old = (self.count, self.total, self.square)
+                    self.radius *= 1.5
+                    self._clear()
+                    left = np.arange(len(old[0]))
+                    while len(left):
+                        left = left[self._block(*[x[left] for x in old])]
+
+    def _block(self, count: np.ndarray, total: np.ndarray, square: np.ndarray) -> np.ndarray:
+        """Takes in a block; returns the rows left out because they would found more entries than a tree may hold for a while."""
         points = total / count[:, None]
         target = np.full(len(points), -1, np.int64)
         if len(self.count):
@@ -60,7 +64,7 @@ class FeatureTree:
                     near = d2 <= self.radius**2
                     target[rows[near]] = leaves[best[near]]
         rest = np.flatnonzero(target < 0)
-        while len(rest):  # each round founds one entry and takes in all within its radius
+        while len(rest) and len(self.count) <= self.limit + 100:  # each round founds one entry and takes in all within its radius
             centre = points[rest[0]]
             near = ((points[rest] - centre) ** 2).sum(1) <= self.radius**2
             target[rest[near]] = len(self.count)
@@ -74,11 +78,14 @@ class FeatureTree:
             self.node = np.append(self.node, node)
             self.count, self.total, self.square = np.append(self.count, 0.0), np.vstack([self.total, np.zeros(self.dims)]), np.append(self.square, 0.0)
             rest = rest[~near]
-        np.add.at(self.count, target, count)
-        np.add.at(self.total, target, total)
-        np.add.at(self.square, target, square)
-        np.add.at(self.node_count, self.node[target], count)
-        np.add.at(self.node_total, self.node[target], total)
+        done = np.flatnonzero(target >= 0)
+        target = target[done]
+        np.add.at(self.count, target, count[done])
+        np.add.at(self.total, target, total[done])
+        np.add.at(self.square, target, square[done])
+        np.add.at(self.node_count, self.node[target], count[done])
+        np.add.at(self.node_total, self.node[target], total[done])
+        return np.sort(rest)
 
     def frame(self) -> pd.DataFrame:
         return pd.DataFrame({"count": self.count, "total": list(self.total), "square": self.square, "radius": self.radius})
@@ -91,31 +98,35 @@ def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def ward(count: np.ndarray, centre: np.ndarray) -> list[tuple[int, int, float]]:
-    """Merges (a, b, cost) in order of cost; merge i founds cluster n + i. Nearest-neighbour chains, quadratic."""
+    """Merges (a, b, cost); merge i founds cluster n + i. Nearest-neighbour chains, quadratic; costs never fall from child to parent."""
     n = len(count)
-    size, place = dict(enumerate(count)), dict(enumerate(centre))
-    left, chain, merges, fresh = set(range(n)), [], [], n
-    while len(left) > 1:
+    size, place = np.zeros(2 * n - 1), np.zeros((2 * n - 1, centre.shape[1]))
+    size[:n], place[:n] = count, centre
+    alive, chain, merges = np.zeros(2 * n - 1, bool), [], []
+    alive[:n] = True
+    height = np.zeros(2 * n - 1)
+    while len(merges) < n - 1:
         if not chain:
-            chain = [min(left)]
+            chain = [int(alive.argmax())]
         at = chain[-1]
-        others = np.array(sorted(left - {at}))
-        d = ((np.array([place[o] for o in others]) - place[at]) ** 2).sum(1)
-        s = np.array([size[o] for o in others])
-        cost = d * s * size[at] / (s + size[at])
-        low = cost.min()
-        to = chain[-2] if len(chain) > 1 and cost[others == chain[-2]][0] <= low else int(others[cost.argmin()])
-        if len(chain) > 1 and to == chain[-2]:
-            chain = chain[:-2]
-            merges.append((at, to, float(low), fresh))
+        others = np.flatnonzero(alive)
+        others = others[others != at]
+        gap = place[others] - place[at]
+        cost = (gap * gap).sum(1) * size[others] * size[at] / (size[others] + size[at])
+        low = int(cost.argmin())
+        to = int(others[low])
+        if len(chain) > 1 and cost[np.searchsorted(others, chain[-2])] <= cost[low]:
+            to = chain[-2]
+            fresh = n + len(merges)
+            height[fresh] = max(float(cost[low]), height[at], height[to])
+            merges.append((at, to, float(height[fresh])))
             size[fresh] = size[at] + size[to]
             place[fresh] = (place[at] * size[at] + place[to] * size[to]) / size[fresh]
-            left -= {at, to}
-            left.add(fresh)
-            fresh += 1
+            alive[[at, to]], alive[fresh] = False, True
+            chain = chain[:-2]
         else:
             chain.append(to)
-    return [(a, b, c) for a, b, c, _ in merges]
+    return merges
 
 
 def cut_tree(count: np.ndarray, centre: np.ndarray, most: int = 60, clusters: int | None = None) -> np.ndarray:
@@ -129,34 +140,24 @@ def cut_tree(count: np.ndarray, centre: np.ndarray, most: int = 60, clusters: in
     if n == 1:
         return np.zeros(1, np.int64)
     merges = ward(count, centre)
-    order = sorted(range(len(merges)), key=lambda i: merges[i][2])
-    made = {n + i: merges[i][:2] for i in range(len(merges))}
+    order = sorted(range(len(merges)), key=lambda i: (merges[i][2], i))
     gaps = np.sqrt(np.maximum(((centre[:, None] - centre[None]) ** 2).sum(2), 0))
-
-    def labels(k: int) -> np.ndarray:
-        joined = {n + i for i in order[: n - k]}
-        out, number = np.full(n, -1, np.int64), 0
-        tops = [c for c in list(range(n)) + sorted(joined) if not any(c in made[j] for j in joined)]
-        for top in tops:
-            stack = [top]
-            while stack:
-                c = stack.pop()
-                if c < n:
-                    out[c] = number
-                else:
-                    stack.extend(made[c])
-            number += 1
-        return out
-
-    if clusters:
-        return labels(min(clusters, n))
+    members = {i: [i] for i in range(n)}
     best, best_score = np.zeros(n, np.int64), 1.0
-    for k in range(2, min(most, n - 1) + 1):
-        lab = labels(k)
-        same = lab[:, None] == lab[None]
-        score = gaps[~same].min() / max(gaps[same].max(), 1e-9)
-        if score > best_score:
-            best, best_score = lab, score
+    for i in [-1, *order]:
+        if i >= 0:
+            members[n + i] = members.pop(merges[i][0]) + members.pop(merges[i][1])
+        k = len(members)
+        if k == min(clusters, n) if clusters else 2 <= k <= min(most, n - 1):
+            label = np.empty(n, np.int64)
+            for c, rows in enumerate(members.values()):
+                label[rows] = c
+            if clusters:
+                return label
+            same = label[:, None] == label[None]
+            score = gaps[~same].min() / max(gaps[same].max(), 1e-9)
+            if score >= best_score and score > 1:
+                best, best_score = label, score
     return best
 
 
@@ -247,10 +248,11 @@ def similarity_clusters(df: DataFrame, id_col: str, group: str, num_cols: tuple[
         copies = named.join(sizes, same).drop("g2").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         members = parted.groupBy("g", "part").cogroup(copies.groupBy("g", "part")).applyInPandas(assign_group, assigned)
     members = cut.table(members)
-    first = members.withColumn("bin", F.pmod(F.xxhash64("id"), F.lit(256))).groupBy("g", "cluster", "bin")
-    local = first.applyInPandas(lambda p: p.nsmallest(1, "id")[["g", "cluster"]].assign(n=len(p), rep_id=p["id"].min(), near=[[(float(d), int(i)) for d, i in sorted(zip(p["distance"], p["id"]))[:typical]]]), f"g {kind}, cluster int, n long, rep_id long, near array<struct<distance:double,id:long>>")
-    described = local.groupBy("g", "cluster").agg(F.sum("n").alias("n"), F.min("rep_id").alias("rep_id"), F.flatten(F.collect_list("near")).alias("near"))
-    described = described.select("g", "cluster", "n", "rep_id", F.transform(F.slice(F.sort_array("near"), 1, typical), lambda s: s["id"]).alias("typical"))
+    sizes = members.groupBy("g", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep_id"))
+    # rows beyond the wanted rank are dropped within their partition, before any shuffle
+    rank = F.row_number().over(Window.partitionBy("g", "cluster").orderBy("distance", "id"))
+    near = members.withColumn("k", rank).where(F.col("k") <= typical).groupBy(F.col("g").alias("g2"), F.col("cluster").alias("c2")).agg(F.sort_array(F.collect_list(F.struct("k", "id"))).alias("near"))
+    described = sizes.join(near, F.col("g").eqNullSafe(F.col("g2")) & (F.col("cluster") == F.col("c2"))).select("g", "cluster", "n", "rep_id", F.transform("near", lambda s: s["id"]).alias("typical"))
     return members, cut.table(described)
 
 
