@@ -46,11 +46,16 @@ def in_range(column: str | Column, bounds: Range, inclusive: bool = False) -> Co
         tests.append(c <= high if inclusive else c < high)
     if not tests:
         return F.lit(True)
-    return F.coalesce(reduce(lambda a, b: a & b, tests) & ~F.isnan(c.cast("double")), F.lit(False))
+    # NULL fails any comparison; NaN counts as greater than all numbers, so it must be told off where nothing bounds it above
+    return reduce(lambda a, b: a & b, tests) & ~F.isnan(c.cast("double"))
+
+
+def all_in_range(ranges: dict[str, Range], inclusive: bool = False) -> Column:
+    return reduce(lambda a, b: a & b, [in_range(c, r, inclusive) for c, r in ranges.items()], F.lit(True))
 
 
 def range_filter(df: DataFrame, ranges: dict[str, Range], inclusive: bool = False) -> DataFrame:
-    return df.where(reduce(lambda a, b: a & b, [in_range(c, r, inclusive) for c, r in ranges.items()], F.lit(True)))
+    return df.where(all_in_range(ranges, inclusive))
 
 
 def range_counts(df: DataFrame, ranges: dict[str, Range], keys: list[str] = [], inclusive: bool = False) -> DataFrame:  # noqa: B006

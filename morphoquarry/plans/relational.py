@@ -35,7 +35,7 @@ PASS_SQL = """((colocal_id = 0 AND area > 20 AND area < 400 AND intensity_mean >
 
 @query(f"SELECT {KEEP_SQL} FROM {{OBJ}} WHERE area > 10 AND area < 5000 AND intensity_mean > 200 AND intensity_mean < 2000")
 def threshold_filter(spark: SparkSession, d: str) -> DataFrame:
-    return f.range_filter(objects(spark, d), RANGES).select(*KEEP)
+    return objects(spark, d, f.all_in_range(RANGES)).select(*KEEP)
 
 
 @query("""SELECT colocal_id, count(*) AS pre_filters, count(*) FILTER (area > 10 AND area < 5000) AS post_area,
@@ -62,14 +62,13 @@ def filter_objects(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT obj_id, ex_i, colocal_id, label, ch1_intersecting_label, intersection_percent FROM (
 SELECT *, row_number() OVER (PARTITION BY ex_i, colocal_id, ch1_intersecting_label ORDER BY intersection_percent DESC NULLS LAST, label) AS k FROM {OBJ} WHERE ch1_intersecting_label IS NOT NULL) WHERE k = 1""")
 def dedupe_top1(spark: SparkSession, d: str) -> DataFrame:
-    rows = objects(spark, d).where("ch1_intersecting_label IS NOT NULL")
+    rows = objects(spark, d, "ch1_intersecting_label IS NOT NULL")
     return f.best_match_only(rows, ["ex_i", "colocal_id"], "ch1_intersecting_label", "intersection_percent", "label").select("obj_id", "ex_i", "colocal_id", "label", "ch1_intersecting_label", "intersection_percent")
 
 
 @query("SELECT obj_id, ex_i, label FROM {OBJ} c WHERE colocal_id = 3 AND EXISTS (SELECT 1 FROM {OBJ} p WHERE p.colocal_id = 2 AND p.ex_i = c.ex_i AND p.label = c.label)")
 def semi_join_parents(spark: SparkSession, d: str) -> DataFrame:
-    rows = objects(spark, d)
-    return f.surviving_children(rows.where("colocal_id = 3"), rows.where("colocal_id = 2"), ["ex_i", "label"]).select("obj_id", "ex_i", "label")
+    return f.surviving_children(objects(spark, d, "colocal_id = 3"), objects(spark, d, "colocal_id = 2"), ["ex_i", "label"]).select("obj_id", "ex_i", "label")
 
 
 @query(f"SELECT DISTINCT ex_i, colocal_id, label FROM {{OBJ}} o WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM {{OBJ}} WHERE {PASS_SQL}) p WHERE p.obj_id = o.obj_id)")
@@ -86,7 +85,7 @@ def zero_filled_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT obj_id FROM {OBJ} WHERE ex_i = 'ex1' AND colocal_id = 1")
 def query_equality(spark: SparkSession, d: str) -> DataFrame:
-    return f.pick(objects(spark, d), "obj_id", ex_i="ex1", colocal_id=1)
+    return objects(spark, d, f.equals(ex_i="ex1", colocal_id=1)).select("obj_id")
 
 
 @query("SELECT obj_id, ex_i, label, area FROM (SELECT *, row_number() OVER (PARTITION BY ex_i, colocal_id ORDER BY area DESC NULLS LAST, obj_id) AS k FROM {OBJ}) WHERE k <= 3")
@@ -96,7 +95,7 @@ def largest_objects(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT obj_id, ex_i, area FROM {OBJ} WHERE area BETWEEN 10 AND 500")
 def size_filter_inclusive(spark: SparkSession, d: str) -> DataFrame:
-    return f.range_filter(objects(spark, d), {"area": (10.0, 500.0)}, inclusive=True).select("obj_id", "ex_i", "area")
+    return objects(spark, d, f.all_in_range({"area": (10.0, 500.0)}, inclusive=True)).select("obj_id", "ex_i", "area")
 
 
 @query("""SELECT obj_id, CASE WHEN label BETWEEN 5 AND 9 THEN -2 WHEN label = 3 THEN -1 ELSE label END AS mapped FROM {OBJ}""")
@@ -109,7 +108,7 @@ AND centroid[len(centroid)] BETWEEN 10 AND 200 AND centroid[len(centroid) - 1] B
 def coordinate_box_filter(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("centroid")
     whole = F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v))
-    return objects(spark, d).where(c.isNotNull() & whole & F.element_at(c, -1).between(10, 200) & F.element_at(c, -2).between(20, 150)).select("obj_id", "ex_i", "label")
+    return objects(spark, d, c.isNotNull() & whole & F.element_at(c, -1).between(10, 200) & F.element_at(c, -2).between(20, 150)).select("obj_id", "ex_i", "label")
 
 
 @query("""WITH m AS (SELECT *, median(intensity_mean) OVER (PARTITION BY colocal_id) AS med FROM {OBJ} WHERE intensity_mean IS NOT NULL),
@@ -134,9 +133,8 @@ def unmatched_composites(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT 'base' AS kind, obj_id, intensity_mean, NULL AS intersection_percent FROM {OBJ} WHERE colocal_id < 3
 UNION ALL SELECT 'composite', obj_id, NULL, intersection_percent FROM {OBJ} WHERE colocal_id >= 3""")
 def union_padded(spark: SparkSession, d: str) -> DataFrame:
-    rows = objects(spark, d)
-    base = rows.where("colocal_id < 3").select(F.lit("base").alias("kind"), "obj_id", "intensity_mean")
-    return s.padded_union(base, rows.where("colocal_id >= 3").select(F.lit("composite").alias("kind"), "obj_id", "intersection_percent"))
+    base = objects(spark, d, "colocal_id < 3").select(F.lit("base").alias("kind"), "obj_id", "intensity_mean")
+    return s.padded_union(base, objects(spark, d, "colocal_id >= 3").select(F.lit("composite").alias("kind"), "obj_id", "intersection_percent"))
 
 
 @query("SELECT obj_id, unnest(CASE WHEN colocal_id = 2 THEN [2, 3, 4] ELSE [colocal_id] END) AS colocal_id, label FROM {OBJ}")
@@ -171,14 +169,14 @@ def annotation_override(spark: SparkSession, d: str) -> DataFrame:
 ON a.ex_i = b.ex_i AND a.roi_i = b.roi_i""".replace("b.intensity_1 FROM", "round(b.intensity_1, 6) AS intensity_1 FROM", 1))
 def intensity_self_join(spark: SparkSession, d: str) -> DataFrame:
     rows = objects(spark, d)
-    one = rows.where("colocal_id = 1").groupBy("ex_i", "roi_i").agg(F.avg("intensity_mean").alias("intensity_1"))
+    one = objects(spark, d, "colocal_id = 1").groupBy("ex_i", "roi_i").agg(F.avg("intensity_mean").alias("intensity_1"))
     return rows.join(one, ["ex_i", "roi_i"]).select("obj_id", "ex_i", "intensity_mean", F.round("intensity_1", 6).alias("intensity_1"))
 
 
 @query("""SELECT coalesce(a.ex_i, b.ex_i) AS ex_i, coalesce(a.label, b.label) AS label, a.v AS intensity_0, b.v AS intensity_1
 FROM (SELECT ex_i, label, max(intensity_mean) AS v FROM {OBJ} WHERE colocal_id = 0 GROUP BY ex_i, label) a FULL JOIN (SELECT ex_i, label, max(intensity_mean) AS v FROM {OBJ} WHERE colocal_id = 1 GROUP BY ex_i, label) b ON a.ex_i = b.ex_i AND a.label = b.label""")
 def object_intensities_outer(spark: SparkSession, d: str) -> DataFrame:
-    one = lambda i: objects(spark, d).where(F.col("colocal_id") == i).groupBy("ex_i", "label").agg(F.max("intensity_mean").alias(f"intensity_{i}"))
+    one = lambda i: objects(spark, d, F.col("colocal_id") == i).groupBy("ex_i", "label").agg(F.max("intensity_mean").alias(f"intensity_{i}"))
     return one(0).join(one(1), ["ex_i", "label"], "full_outer").select("ex_i", "label", "intensity_0", "intensity_1")
 
 

@@ -39,7 +39,7 @@ def _embedded(spark: SparkSession, d: str) -> DataFrame:
 def points(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("centroid")
     whole = c.isNotNull() & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v))
-    return objects(spark, d).where((F.col("centroid_unit") == "px") & whole).select("obj_id", "ex_i", "colocal_id", "dend_id", "intensity_mean", F.element_at(c, -1).alias("x"), F.element_at(c, -2).alias("y"))
+    return objects(spark, d, (F.col("centroid_unit") == "px") & whole).select("obj_id", "ex_i", "colocal_id", "dend_id", "intensity_mean", F.element_at(c, -1).alias("x"), F.element_at(c, -2).alias("y"))
 
 
 def _links(spark: SparkSession, d: str, radius: float = 0.1) -> DataFrame:

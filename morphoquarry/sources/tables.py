@@ -9,11 +9,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def objects(spark: SparkSession, folder: str) -> DataFrame:
-    """The object table, each object once and NaN as NULL; repeated rows differ in their load time alone."""
+def objects(spark: SparkSession, folder: str, where=None) -> DataFrame:
+    """The object table, each object once and NaN as NULL; repeated rows differ in their load time alone.
+
+    ``where`` keeps rows before repeats are removed, so that the condition reaches the Parquet scan; it meets NaN as such.
+    """
     from pyspark.sql import functions as F
 
     df = table(spark, folder, "rpdf").drop("loaded_at")
+    if where is not None:
+        df = df.where(where)
     return df.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c, kind in df.dtypes if kind == "double"}).dropDuplicates(["obj_id"])
 
 
