@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphoquarry.llm.relsketch import RelSketch
+from morphoquarry.llm.relsketch import RelSketch, dumped
 from morphoquarry.operators.unify import CommonUnits
 from morphoquarry.sources.tables import table
 
@@ -39,7 +39,7 @@ def _flush(frames: list[pd.DataFrame], keys: list[str], measures: list[str], k:
             part = part[~np.isnan(part)]
             if len(part):
                 some.append(i)
-                data.append([RelSketch(k, side).update(part).dump() for side in (False, True)])
+                data.append([dumped(part, k, side) for side in (False, True)])
         frame = firsts.iloc[some].reset_index(drop=True)
         frame["measure"] = m
         frame["low"], frame["high"] = [d[0] for d in data], [d[1] for d in data]
@@ -74,16 +74,30 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Combines the sketches of equal keys, be they from partitions, days or stored tables."""
     kinds = ", ".join(f"{c} {parts.schema[c].dataType.simpleString()}" for c in keys)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[keys].iloc[:1].reset_index(drop=True)
-        for side in ("low", "high"):
-            one = RelSketch.load(pdf[side].iloc[0])
-            for data in pdf[side].iloc[1:]:
-                one.merge(RelSketch.load(data))
-            out[side] = [one.dump()]
-        return out
+    def run(batches):
+        # rows come sorted by key, so a key's sketches follow each other and only one key's are held
+        key, held, out = None, ([], []), []
+
+        def close():
+            if held[0]:
+                out.append((*key, *[RelSketch.combined(side).dump() for side in held]))
+            held[0].clear(), held[1].clear()
 
-    return parts.select(*keys, "low", "high").groupBy(*keys).applyInPandas(run, f"{kinds}, low binary, high binary")
+        for pdf in batches:
+            for *now, low, high in pdf[[*keys, "low", "high"]].itertuples(index=False, name=None):
+                now = tuple(None if v is pd.NaT or v != v else v for v in now)
+                if now != key:
+                    close()
+                    key = now
+                held[0].append(low), held[1].append(high)
+            if len(out) >= 1000:
+                yield pd.DataFrame(out, columns=[*keys, "low", "high"])
+                out = []
+        close()
+        yield pd.DataFrame(out, columns=[*keys, "low", "high"])
+
+    together = parts.select(*keys, "low", "high").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+    return together.mapInPandas(run, f"{kinds}, low binary, high binary")
 
 
 def quantiles(parts: DataFrame, keys: list[str]) -> DataFrame:

@@ -15,6 +15,15 @@ import numpy as np
 
 START_SECTIONS = 3
 LEAST_SECTION = 4
+_HEAD, _LEVEL = struct.Struct("<HBqH"), struct.Struct("<qIfBI")
+
+
+def dumped(values: np.ndarray, k: int, high: bool) -> bytes:
+    """What a new sketch dumps after these numbers, none of them NaN; few values need no sketch for that."""
+    if len(values) > 2 * START_SECTIONS * max(LEAST_SECTION, 2 * round(k / 2)):
+        return RelSketch(k, high).update(values).dump()
+    signed = values if high else -values
+    return _HEAD.pack(k, high, len(values), 1) + _LEVEL.pack(0, START_SECTIONS, k, 0, len(values)) + signed.astype("<f8").tobytes()
 
 
 class _Level:
@@ -58,8 +67,10 @@ class RelSketch:
     def update(self, values: np.ndarray) -> "RelSketch":
         """Adds numbers; NaN isn't one."""
         values = values[~np.isnan(values)]
-        self.n += len(values)
-        signed = values if self.high else -values
+        return self._take(values if self.high else -values)
+
+    def _take(self, signed: np.ndarray) -> "RelSketch":
+        self.n += len(signed)
         room = 4096
         for at in range(0, len(signed), room):
             self._add(0, signed[at : at + room])
@@ -111,20 +122,35 @@ class RelSketch:
         return deviations * min(relative, 0.084 / self.k)
 
     def dump(self) -> bytes:
-        head = struct.pack("<HBqH", self.k, self.high, self.n, len(self.levels))
-        parts = [struct.pack("<qIfBI", x.state, x.sections, x.width, x.coin, len(x.values)) + x.values.astype("<f8").tobytes() for x in self.levels]
+        head = _HEAD.pack(self.k, self.high, self.n, len(self.levels))
+        parts = [_LEVEL.pack(x.state, x.sections, x.width, x.coin, len(x.values)) + x.values.astype("<f8").tobytes() for x in self.levels]
         return head + b"".join(parts)
 
     @classmethod
     def load(cls, data: bytes) -> "RelSketch":
-        k, high, n, count = struct.unpack_from("<HBqH", data)
-        out, at = cls(k, bool(high)), struct.calcsize("<HBqH")
+        k, high, n, count = _HEAD.unpack_from(data)
+        out, at = cls(k, bool(high)), _HEAD.size
         out.n, out.levels = n, []
         for _ in range(count):
             level = _Level(k)
-            level.state, level.sections, level.width, level.coin, size = struct.unpack_from("<qIfBI", data, at)
-            at += struct.calcsize("<qIfBI")
+            level.state, level.sections, level.width, level.coin, size = _LEVEL.unpack_from(data, at)
+            at += _LEVEL.size
             level.values = np.frombuffer(data, "<f8", size, at).copy()
             at += 8 * size
             out.levels.append(level)
         return out
+
+    @classmethod
+    def combined(cls, dumps: list[bytes]) -> "RelSketch":
+        """All of them merged; the values of those that never compacted are taken together."""
+        whole, plain = [], []
+        for data in dumps:
+            if _HEAD.unpack_from(data)[3] == 1 and _LEVEL.unpack_from(data, _HEAD.size)[0] == 0:
+                plain.append(np.frombuffer(data, "<f8", -1, _HEAD.size + _LEVEL.size))
+            else:
+                whole.append(data)
+        k, high, _, _ = _HEAD.unpack_from(dumps[0])
+        out = cls.load(whole[0]) if whole else cls(k, bool(high))
+        for data in whole[1:]:
+            out.merge(cls.load(data))
+        return out._take(np.concatenate(plain)) if plain else out
