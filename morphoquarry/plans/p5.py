@@ -62,5 +62,25 @@ def p5_image_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("record").alias("run_id"), F.col("pos").alias("disp_i"), F.col("name").alias("ex_i"), "status", "image_path", "scaling", F.to_json("shape").alias("shape"), "mag")
 
 
+def _open(x: str) -> str:
+    return f"(CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x}->>'$') THEN CAST({x}->>'$' AS JSON) ELSE {x} END)"
+
+
+def _listed(x: str) -> str:
+    """Elements (k, v) of a list or of an object, or a lone object as the first of a list."""
+    return f"(SELECT CAST(e.key AS BIGINT) AS k, e.value AS v FROM json_each({x}) e WHERE json_type({x}) = 'ARRAY' UNION ALL SELECT 0, {x} WHERE json_type({x}) = 'OBJECT' AND {x}::VARCHAR <> '{{}}')"
+
+
+_SQL = f"""WITH j AS (SELECT DISTINCT run_id, CAST(payload AS JSON)->'dispatcher_configs' AS d FROM quant_runs WHERE payload IS NOT NULL AND json_valid(payload)),
+o AS (SELECT run_id, {_open("d")} AS d FROM j), e AS (SELECT run_id, CAST(x.key AS BIGINT) AS disp_i, {_open("x.value")} AS v FROM o, json_each(o.d) x WHERE json_type(o.d) IN ('ARRAY', 'OBJECT')),
+m AS (SELECT run_id, disp_i, v, {_open("v->'exmd'")} AS x, {_open("v->'rois'")} AS r FROM e WHERE json_type(v) = 'OBJECT'),
+c AS (SELECT run_id, disp_i, t.key AS k, t.value AS v FROM m, json_each(x->'data_metadata'->'channel_info') t WHERE json_type(x->'data_metadata'->'channel_info') IN ('ARRAY', 'OBJECT')),
+l AS (SELECT run_id, disp_i, t.key AS k, t.value AS v FROM m, json_each(x->'COLOCALIZE_PARAMS'->'colocalizations') t WHERE json_type(x->'COLOCALIZE_PARAMS'->'colocalizations') = 'ARRAY'),
+ro AS (SELECT run_id, disp_i, t.k, t.v FROM m, LATERAL {_listed("m.r")} t WHERE json_type(t.v) = 'OBJECT'),
+po AS (SELECT run_id, disp_i, ro.k AS roi, t.k, t.v FROM ro, LATERAL {_listed("(ro.v->'polygons')")} t WHERE json_type(t.v) = 'OBJECT')
+SELECT run_id, disp_i, 'dispatcher' AS kind, CAST(-1 AS BIGINT) AS pos, CAST(-1 AS BIGINT) AS sub_pos, v->>'ex_i' AS name FROM m
+UNION ALL SELECT run_id, disp_i, 'channel', CAST(CASE WHEN json_type(v) = 'OBJECT' THEN v->>'index' ELSE CAST(k AS VARCHAR) END AS BIGINT), -1, CASE WHEN json_type(v) = 'OBJECT' THEN v->>'name' ELSE v->>'$' END FROM c WHERE json_type(v) <> 'NULL'
+UNION ALL SELECT run_id, disp_i, 'colocalization', CAST(k AS BIGINT), -1, array_to_string(CAST(v AS VARCHAR[]), '+') FROM l WHERE json_type(v) = 'ARRAY' AND json_array_length(v) > 0
+UNION ALL SELECT run_id, disp_i, 'roi', k, -1, v->>'name' FROM ro UNION ALL SELECT run_id, disp_i, 'polygon', roi, k, v->>'label' FROM po"""
 QUERIES = {"p5_found": p5_found, "p5_image_metadata": p5_image_metadata}
-SQL: dict[str, str] = {}
+SQL = {"p5_found": _SQL}
