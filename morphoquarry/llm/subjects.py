@@ -62,6 +62,17 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in out if _TERM.search(s)]
 
 
+def all_terms(text: str | None) -> set[str]:
+    """Terms anywhere in a text, headings included."""
+    if not text:
+        return set()
+    if "&" in text or not text.isascii():
+        text = unicodedata.normalize("NFKC", html.unescape(text))
+    if "<" in text:
+        text = _TAG.sub(" ", _INLINE.sub("", text))
+    return set(_TERM.findall(text.casefold()))
+
+
 def terms(sentence: str) -> list[str]:
     return list(dict.fromkeys(_TERM.findall(sentence.casefold())))
 
@@ -77,8 +88,7 @@ def _count_terms(batches):
         for lang, text in zip(pdf["lang"], pdf["text"]):
             code = language(lang)
             count[code, ""] += 1
-            for t in {t for s in sentences(text) for t in terms(s)}:
-                count[code, t] += 1
+            count.update((code, t) for t in all_terms(text))
         yield pd.DataFrame([(a, b, n) for (a, b), n in count.items()], columns=["lang", "term", "n"])
 
 
@@ -100,17 +110,20 @@ def _encoder(shared):
     return run
 
 
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, term) of a batch's encoded documents, each once, in order."""
+    flat = [np.frombuffer(raw, np.int32) for raw in ids]
+    stream = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+    doc = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
+    both = np.unique((doc[stream >= 0] << 32) | stream[stream >= 0].astype(np.int64))
+    return both >> 32, both & 0xFFFFFFFF
+
+
 def _rows(ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Of a batch's encoded documents: (document, term, weight) of distinct weighted terms, and the number of documents."""
-    doc, term = [], []
-    for d, raw in enumerate(ids):
-        t = np.frombuffer(raw, np.int32)
-        t = np.unique(t[t >= 0])
-        t = t[weights[t] > 0]
-        doc.append(np.full(len(t), d))
-        term.append(t)
-    doc = np.concatenate(doc) if doc else np.zeros(0, int)
-    term = np.concatenate(term) if term else np.zeros(0, int)
+    doc, term = _distinct(ids)
+    known = weights[term] > 0
+    doc, term = doc[known], term[known]
     w = weights[term]
     norm = np.sqrt(np.bincount(doc, w * w, minlength=len(ids)))
     return doc, term, w / np.maximum(norm[doc], 1e-12), len(ids)
@@ -204,12 +217,14 @@ def _evidence(shared, subjects: int):
                         member[d, np.asarray(given, int)] = True
             else:
                 member = _members(ids, model, subjects)
-            count: Counter = Counter()
-            for d in np.flatnonzero(member.any(1)):
-                t = np.unique(np.frombuffer(ids[d], np.int32))
-                for k in np.flatnonzero(member[d]):
-                    count.update(zip(np.append(t[t >= 0], -1).tolist(), [int(k)] * (len(t) + 1), [int(pdf["lang"].iloc[d])] * (len(t) + 1)))
-            yield pd.DataFrame([(*key, n) for key, n in count.items()], columns=["term", "subject", "lang", "n"])
+            doc, term = _distinct(ids)
+            every = np.arange(len(ids))
+            doc, term = np.concatenate([doc, every]), np.concatenate([term, np.full(len(ids), -1)])
+            lang = pdf["lang"].to_numpy(np.int64)
+            for k in range(subjects):
+                mine = member[doc, k]
+                keys, n = np.unique((term[mine] + 1) << 16 | lang[doc[mine]], return_counts=True)
+                yield pd.DataFrame({"term": (keys >> 16) - 1, "subject": k, "lang": keys & 0xFFFF, "n": n})
 
     return run
 
