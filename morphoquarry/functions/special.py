@@ -135,29 +135,34 @@ _W_LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
 _W_LARGE_SD = (-0.4803, -0.082676, 0.0030302)
 
 
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """W and p for 3 to 5000 values; NaN outside and for constants."""
-    x = np.sort(np.asarray(values, float))
-    n = len(x)
-    if n < 3 or n > 5000 or x[0] == x[-1]:
+def normal_scores(places: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Approximate means of the order statistics at places 1 to n of a normal sample of n values (Blom)."""
+    return np.fromiter(map(_NORMAL.inv_cdf, (np.asarray(places, float) - 0.375) / (np.asarray(n, float) + 0.25)), float)
+
+
+def shapiro_from_sums(n: int, mm: float, mx: float, ends: tuple[float, float, float, float], squares: float) -> tuple[float, float]:
+    """W and p from sums over a sorted sample: of squared scores, of score times value, its two least and two greatest
+    values (ascending) and its squared deviations from the mean. NaN for under 3 values and for constants.
+
+    Royston fitted p on up to 5000 values; beyond, W stays right and p is carried on.
+    """
+    x1, x2, x3, x4 = ends
+    if n < 3 or x1 == x4 or not squares > 0:
         return math.nan, math.nan
     poly = lambda c, v: sum(k * v**i for i, k in enumerate(c))
-    m = np.array([_NORMAL.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    ss, u = float(m @ m), 1 / math.sqrt(n)
-    a = m / math.sqrt(ss)
+    m1, m2 = normal_scores(np.array([n, n - 1]), np.array([n, n]))
+    u = 1 / math.sqrt(n)
     if n == 3:
-        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+        ax = math.sqrt(0.5) * (x4 - x1)
     else:
-        last = poly(_W_C1, u) + a[-1]
+        last = poly(_W_C1, u) + m1 / math.sqrt(mm)
         if n > 5:
-            second = poly(_W_C2, u) + a[-2]
-            phi = (ss - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-            a = m / math.sqrt(phi)
-            a[-1], a[-2], a[0], a[1] = last, second, -last, -second
+            second = poly(_W_C2, u) + m2 / math.sqrt(mm)
+            phi = (mm - 2 * m1**2 - 2 * m2**2) / (1 - 2 * last**2 - 2 * second**2)
+            ax = (mx - m1 * (x4 - x1) - m2 * (x3 - x2)) / math.sqrt(phi) + last * (x4 - x1) + second * (x3 - x2)
         else:
-            a = m / math.sqrt((ss - 2 * m[-1] ** 2) / (1 - 2 * last**2))
-            a[-1], a[0] = last, -last
-    w = min(1.0, float(a @ x) ** 2 / float(((x - x.mean()) ** 2).sum()))
+            ax = (mx - m1 * (x4 - x1)) / math.sqrt((mm - 2 * m1**2) / (1 - 2 * last**2)) + last * (x4 - x1)
+    w = min(1.0, ax**2 / squares)
     if n == 3:
         return w, min(1.0, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))
     if w >= 1:
@@ -173,14 +178,20 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     return w, normal_sf((y - mean) / sd)
 
 
-def skew_test(values: np.ndarray) -> tuple[float, float]:
-    """Z and two-sided p of D'Agostino's test that the skewness is that of a normal distribution; needs 8 values."""
-    x = np.asarray(values, float)
+def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
+    """W and p; NaN for under 3 values and for constants."""
+    x = np.sort(np.asarray(values, float))
     n = len(x)
-    d = x - x.mean() if n else x
-    if n < 8 or not (d**2).any():
+    if n < 3:
+        return math.nan, math.nan
+    m, d = normal_scores(np.arange(1, n + 1), np.full(n, n)), x - x.mean()
+    return shapiro_from_sums(n, float(m @ m), float(m @ d), (x[0], x[1], x[-2], x[-1]), float(d @ d))
+
+
+def skew_from_moments(n: int, skew: float) -> tuple[float, float]:
+    """Z and two-sided p of D'Agostino's test from the population skewness; needs 8 values."""
+    if n < 8 or skew != skew:
         return math.nan, math.nan
-    skew = (d**3).mean() / (d**2).mean() ** 1.5
     y = skew * math.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
     beta2 = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9))
     w2 = -1 + math.sqrt(2 * (beta2 - 1))
@@ -188,6 +199,13 @@ def skew_test(values: np.ndarray) -> tuple[float, float]:
     return z, 2 * normal_sf(abs(z))
 
 
+def skew_test(values: np.ndarray) -> tuple[float, float]:
+    """Z and two-sided p of D'Agostino's test that the skewness is that of a normal distribution; needs 8 values."""
+    x = np.asarray(values, float)
+    d = x - x.mean() if len(x) else x
+    return skew_from_moments(len(x), (d**3).mean() / (d**2).mean() ** 1.5 if (d**2).any() else math.nan)
+
+
 def wilcoxon_signed_rank(differences: np.ndarray) -> tuple[float, float]:
     """The smaller rank sum and the two-sided normal p with tie correction; zero differences are left out."""
     d = np.asarray(differences, float)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from morphoquarry.functions import special
-from morphoquarry.operators.twostage import carried, parted, percentiles, ranked, with_statistics
+from morphoquarry.operators.twostage import carried, parted, percentiles, ranked, stable, with_statistics
 
 
 def _p(fn, *columns):
@@ -233,17 +233,23 @@ def random_intercept_model(df: DataFrame, subject: str, response: str, features:
 
 
 def shapiro_by_group(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, n, w, p_normal, skew_z, p_skew) per group of 3 to 5000 values; larger and smaller groups get NULL without being gathered."""
+    """(keys, n, w, p_normal, skew_z, p_skew) per group of any size, NULL keys included, without gathering a group; NULL where there are too few values or no spread."""
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    fit = rows.join(sizes.where("n BETWEEN 3 AND 5000"), keys)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["_v"].to_numpy(float)
-        (w, p), (z, q) = special.shapiro_wilk(x), special.skew_test(x)
-        out = pdf[keys].iloc[:1].reset_index(drop=True)
-        return out.assign(w=w, p_normal=p, skew_z=z, p_skew=q)
-
-    tested = fit.groupBy(*keys).applyInPandas(run, f"{kinds}, w double, p_normal double, skew_z double, p_skew double")
-    return sizes.join(tested, keys, "left")
+    with_n = with_statistics(rows, keys, {"_n": F.count(F.lit(1)), "_mean": F.avg("_v")})
+    placed = carried(parted(with_n, keys, "_v"), keys, {"_below": F.count(F.lit(1))})
+    local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_v"))
+    placed = placed.withColumn("_i", F.coalesce("_below", F.lit(0)) + local)
+    scores = F.pandas_udf(lambda i, n: pd.Series(special.normal_scores(i, n)), T.DoubleType())
+    scored = placed.withColumn("_m", scores(F.col("_i"), F.col("_n"))).withColumn("_d", F.col("_v") - F.col("_mean"))
+    at = lambda place: F.max(F.when(F.col("_i") == place, F.col("_v")))
+    sums = scored.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("_m") * F.col("_m")).alias("_mm"),
+        F.sum(F.col("_m") * F.col("_d")).alias("_mx"),
+        F.sum(F.col("_d") * F.col("_d")).alias("_dd"),
+        F.skewness("_v").alias("_skew"),
+        *[at(p).alias(f"_x{k}") for k, p in enumerate((F.lit(1), F.lit(2), F.col("_n") - 1, F.col("_n")))],
+    )
+    shapiro = lambda k: _p(lambda n, mm, mx, a, b, c, d, dd: special.shapiro_from_sums(n, mm, mx, (a, b, c, d), dd)[k], "n", "_mm", "_mx", "_x0", "_x1", "_x2", "_x3", "_dd")
+    skew = lambda k: _p(lambda n, s: special.skew_from_moments(n, s)[k], "n", "_skew")
+    return stable(sums).select(*keys, "n", shapiro(0).alias("w"), shapiro(1).alias("p_normal"), skew(0).alias("skew_z"), skew(1).alias("p_skew"))

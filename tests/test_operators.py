@@ -351,3 +351,19 @@ def test_two_stage(spark, kind):
     assert twostage.percentiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
     whole = twostage.with_percentiles(clean, [], "v", [0.5], "q").first()
     assert whole.q[0] == pytest.approx(np.median(values))
+
+
+def test_normality_of_large_and_null_groups(spark):
+    rng = np.random.default_rng(4)
+    groups = {"big": rng.gamma(3.0, size=6000).round(2), None: rng.normal(size=40), "five": np.array([1, 2, 2, 5, 9.0]), "flat": np.ones(9), "two": np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("five", None)], "k string, v double")
+    got = {r.k: r for r in stats.shapiro_by_group(df, ["k"], "v").collect()}
+    assert {k: r.n for k, r in got.items()} == {k: len(x) for k, x in groups.items()}
+    for k, x in groups.items():
+        want = [*special.shapiro_wilk(x), *special.skew_test(x)]
+        for g, w in zip([got[k].w, got[k].p_normal, got[k].skew_z, got[k].p_skew], want):
+            assert (g is None and math.isnan(w)) or g == pytest.approx(w, rel=1e-6, abs=1e-12)
+    assert got["big"].w is not None and got["big"].skew_z > 10 and got[None].w is not None
+    # W of the first groups by the definition, coefficients written out
+    m = np.array([special._NORMAL.inv_cdf((i - 0.375) / 6000.25) for i in range(1, 6001)])
+    assert got["big"].w == pytest.approx(np.corrcoef(m, np.sort(groups["big"]))[0, 1] ** 2, abs=2e-3)
