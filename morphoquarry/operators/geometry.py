@@ -81,25 +81,44 @@ def area_in_box(df: DataFrame, ring: str, bounds: tuple[float, float, float, flo
     return df.mapInPandas(run, schema)
 
 
-def raster(df: DataFrame, keys: list[str], ring: str, pitch: float) -> DataFrame:
-    """(keys, y, x): places of a square grid inside each ring by the even-odd rule, scan line by scan line, in the JVM.
+def spans(df: DataFrame, keys: list[str], ring: str, pitch: float, holes: str | None = None) -> DataFrame:
+    """(keys, row, lo, hi, h): runs of places of a square grid inside each ring by the even-odd rule, scan line by scan line, in the JVM; h has the runs (lo, hi) of its holes on the line.
 
     A place on a lower or left outline is inside, on an upper or right one outside. Crossings of a line are sorted and
-    taken in pairs, so the work follows the rows produced, not the boxes.
+    taken in pairs, so the work follows the runs, not the boxes. The keys must tell the rings apart.
     """
-    points = F.col(ring).cast(RING)
+    rings = F.array(F.col(ring).cast(RING))
+    if holes:
+        rings = F.concat(rings, F.coalesce(F.col(holes).cast(f"array<{RING}>"), F.array().cast(f"array<{RING}>")))
+    parts = df.where(F.size(ring) > 2).select(*keys, F.posexplode(rings).alias("part", "points")).where(F.size("points") > 2)
+    points = F.col("points")
     closed = F.arrays_zip(points.alias("a"), F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(1))), F.slice(points, 1, 1)).alias("b"))
-    edges = df.where(F.size(ring) > 2).select(*keys, F.explode(closed).alias("e"))
-    edges = edges.select(*keys, F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2")).where("y1 <> y2")
+    edges = parts.select(*keys, "part", F.explode(closed).alias("e"))
+    edges = edges.select(*keys, "part", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2")).where("y1 <> y2")
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     first, last = F.ceil(low / pitch).cast("long"), (F.ceil(high / pitch) - 1).cast("long")
     lines = edges.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("row"))
     y = F.col("row") * pitch
-    crossings = lines.select(*keys, "row", (F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))).alias("cx"))
-    sorted_x = crossings.groupBy(*keys, "row").agg(F.sort_array(F.collect_list("cx")).alias("xs"))
-    spans = sorted_x.select(*keys, "row", F.explode(F.expr("transform(sequence(0, size(xs) div 2 - 1), i -> struct(xs[2 * i] AS a, xs[2 * i + 1] AS b))")).alias("s"))
-    lo, hi = F.ceil(F.col("s.a") / pitch).cast("long"), (F.ceil(F.col("s.b") / pitch) - 1).cast("long")
-    return spans.where(lo <= hi).select(*keys, (F.col("row") * pitch).cast("double").alias("y"), F.explode(F.sequence(lo, hi)).alias("col")).select(*keys, "y", (F.col("col") * pitch).cast("double").alias("x")).distinct()
+    crossings = lines.select(*keys, "part", "row", (F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))).alias("cx")).where("cx IS NOT NULL")
+    sorted_x = crossings.groupBy(*keys, "row").agg(F.sort_array(F.collect_list(F.struct("part", "cx"))).alias("xs"))
+    pair = f"struct(xs[2 * i].part AS part, CAST(ceil(xs[2 * i].cx / {pitch}D) AS BIGINT) AS lo, CAST(ceil(xs[2 * i + 1].cx / {pitch}D) - 1 AS BIGINT) AS hi)"
+    pairs = F.expr(f"filter(transform(filter(sequence(0, size(xs) div 2 - 1), i -> i >= 0), i -> {pair}), s -> s.lo <= s.hi)")
+    runs = sorted_x.select(*keys, "row", pairs.alias("p")).select(*keys, "row", F.filter("p", lambda s: s["part"] > 0).alias("h"), F.explode(F.filter("p", lambda s: s["part"] == 0)).alias("s"))
+    return runs.select(*keys, "row", "s.lo", "s.hi", "h")
+
+
+def in_hole(col: Column) -> Column:
+    """Whether a column of a row of ``spans`` lies in a hole."""
+    return F.exists("h", lambda s: (s["lo"] <= col) & (col <= s["hi"]))
+
+
+def raster(df: DataFrame, keys: list[str], ring: str, pitch: float, holes: str | None = None) -> DataFrame:
+    """(keys, y, x): the places of ``spans`` that are in no hole."""
+    cols = F.sequence("lo", "hi")
+    if holes:
+        cols = F.when(F.size("h") == 0, cols).otherwise(F.filter(cols, lambda c: ~in_hole(c)))
+    places = spans(df, keys, ring, pitch, holes).select(*keys, (F.col("row") * pitch).cast("double").alias("y"), F.explode(cols).alias("col"))
+    return places.select(*keys, "y", (F.col("col") * pitch).cast("double").alias("x"))
 
 
 def outlines(voxels: DataFrame, keys: list[str], label: str) -> DataFrame:

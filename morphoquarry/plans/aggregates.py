@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,17 @@ QUERIES, SQL = {}, {}
 PITCH = 8.0
 
 
+class Grid(NamedTuple):
+    """Places at which polygons are rasterised, and whether holes are left out."""
+
+    pitch: float
+    holes: bool
+
+
+#: The grid of the queries held against SQL: every eighth row and column, holes filled. plans/pixels.py has every pixel.
+COARSE = Grid(PITCH, False)
+
+
 def query(sql: str | None = None):
     def add(fn):
         QUERIES[fn.__name__] = fn
@@ -32,9 +45,9 @@ def polygons(spark: SparkSession, d: str) -> DataFrame:
 POLY_SQL = "(SELECT DISTINCT poly_id, ex_i, label, sub_idx, channel, ring, holes FROM roi_polygons)"
 
 
-def voxels(spark: SparkSession, d: str) -> DataFrame:
+def voxels(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
     """Places of a grid inside each polygon's ring: (ex_i, poly_id, label, y, x)."""
-    return g.raster(polygons(spark, d), ["ex_i", "poly_id", "label"], "ring", PITCH)
+    return g.raster(polygons(spark, d), ["ex_i", "poly_id", "label"], "ring", grid.pitch, "holes" if grid.holes else None)
 
 
 VOXELS_SQL = f"""(WITH e AS (SELECT ex_i, poly_id, label, unnest(ring) AS a, unnest(list_append(ring[2:], ring[1])) AS b FROM {POLY_SQL} WHERE len(ring) > 2),
@@ -185,14 +198,14 @@ def intensity_moments(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT ex_i, poly_id, y, x FROM {VOX}")
-def rasterise(spark: SparkSession, d: str) -> DataFrame:
-    return voxels(spark, d).select("ex_i", "poly_id", "y", "x")
+def rasterise(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
+    return voxels(spark, d, grid).select("ex_i", "poly_id", "y", "x")
 
 
 @query("""SELECT ex_i, poly_id, count(*) AS area, round(avg(y), 6) AS cy, round(avg(x), 6) AS cx, CAST(min(y) AS BIGINT) AS y0, CAST(min(x) AS BIGINT) AS x0, CAST(max(y) + 1 AS BIGINT) AS y1, CAST(max(x) + 1 AS BIGINT) AS x1, round(avg(y + x), 6) AS intensity_mean,
 round(4 * sqrt((var_pop(y) + var_pop(x) + 1.0 / 6) / 2 + sqrt(pow(var_pop(y) - var_pop(x), 2) / 4 + pow(covar_pop(y, x), 2))), 5) AS axis_major_length FROM {VOX} GROUP BY ex_i, poly_id""")
-def region_properties(spark: SparkSession, d: str) -> DataFrame:
-    rows = voxels(spark, d).withColumn("v", F.col("y") + F.col("x"))
+def region_properties(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
+    rows = voxels(spark, d, grid).withColumn("v", F.col("y") + F.col("x"))
     p = a.region_properties(rows, ["ex_i", "poly_id"], ["y", "x"], "v")
     c, b = F.col("centroid"), F.col("bbox")
     return p.select("ex_i", "poly_id", "area", F.round(c[0], 6).alias("cy"), F.round(c[1], 6).alias("cx"), b[0].alias("y0"), b[1].alias("x0"), b[2].alias("y1"), b[3].alias("x1"), F.round("intensity_mean", 6).alias("intensity_mean"), F.round("axis_major_length", 5).alias("axis_major_length"))
@@ -208,17 +221,17 @@ def max_overlap_assign(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT ex_i, y, x, max(label) AS v FROM {VOX} GROUP BY ALL) SELECT ex_i, x, max(v) AS v FROM p GROUP BY ALL""")
-def axis_max_projection(spark: SparkSession, d: str) -> DataFrame:
-    return voxels(spark, d).groupBy("ex_i", "x").agg(F.max("label").alias("v"))
+def axis_max_projection(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
+    return voxels(spark, d, grid).groupBy("ex_i", "x").agg(F.max("label").alias("v"))
 
 
 @query("SELECT ex_i, label, CAST(min(y) AS BIGINT) AS y_min, CAST(max(y) AS BIGINT) AS y_max, CAST(min(x) AS BIGINT) AS x_min, CAST(max(x) AS BIGINT) AS x_max FROM {VOX} GROUP BY ALL")
-def label_extent(spark: SparkSession, d: str) -> DataFrame:
+def label_extent(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
     ends = [f(c).cast("long").alias(f"{c}_{n}") for c in ("y", "x") for n, f in (("min", F.min), ("max", F.max))]
-    return voxels(spark, d).groupBy("ex_i", "label").agg(*ends)
+    return voxels(spark, d, grid).groupBy("ex_i", "label").agg(*ends)
 
 
 @query("""WITH p AS (SELECT ex_i, CAST(floor(y / 64) AS BIGINT) AS ty, CAST(floor(x / 64) AS BIGINT) AS tx, count(*) AS n FROM {VOX} GROUP BY ALL) SELECT ex_i, ty, tx, n FROM (SELECT *, row_number() OVER (PARTITION BY ex_i ORDER BY n DESC, ty, tx) AS k FROM p) WHERE k = 1""")
-def densest_tile(spark: SparkSession, d: str) -> DataFrame:
-    tiles = voxels(spark, d).groupBy("ex_i", F.floor(F.col("y") / 64).alias("ty"), F.floor(F.col("x") / 64).alias("tx")).agg(F.count(F.lit(1)).alias("n"))
+def densest_tile(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
+    tiles = voxels(spark, d, grid).groupBy("ex_i", F.floor(F.col("y") / 64).alias("ty"), F.floor(F.col("x") / 64).alias("tx")).agg(F.count(F.lit(1)).alias("n"))
     return top_per_key(tiles, ["ex_i"], [F.col("n").desc(), F.col("ty"), F.col("tx")])

@@ -9,7 +9,7 @@ from morphoquarry.operators import graph as g
 from morphoquarry.operators import learn as l
 from morphoquarry.operators.filters import top_per_key
 from morphoquarry.operators.twostage import stable
-from morphoquarry.plans.aggregates import PITCH, voxels
+from morphoquarry.plans.aggregates import COARSE, Grid, voxels
 from morphoquarry.plans.stats import _PAIRS_SQL, FEATURES, SYN_SQL, _pairs, _synapses
 from morphoquarry.sources.tables import OBJECTS_SQL, table
 
@@ -74,9 +74,9 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def label_components(spark: SparkSession, d: str) -> DataFrame:
+def label_components(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
     """Labels of an example that fall into several parts of touching places: as many rows as parts."""
-    v = voxels(spark, d).select("ex_i", "label", (F.col("y") / PITCH).cast("long").alias("y"), (F.col("x") / PITCH).cast("long").alias("x")).distinct()
+    v = voxels(spark, d, grid).select("ex_i", "label", (F.col("y") / grid.pitch).cast("long").alias("y"), (F.col("x") / grid.pitch).cast("long").alias("x")).distinct()
     v = v.withColumn("id", F.xxhash64("ex_i", "label", "y", "x"))
     near = v.select("ex_i", "label", F.explode(F.array(F.struct((F.col("y") + 1).alias("y"), F.col("x")), F.struct(F.col("y"), (F.col("x") + 1).alias("x")))).alias("p"), F.col("id").alias("src")).select("ex_i", "label", "p.y", "p.x", "src")
     links = near.join(v.withColumnRenamed("id", "dst"), ["ex_i", "label", "y", "x"]).select("src", "dst")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from morphoquarry.functions import normalise
 from morphoquarry.operators import morphology as m
 from morphoquarry.operators.hierarchy import hierarchy
-from morphoquarry.plans.aggregates import PITCH, VOXELS_SQL, voxels
+from morphoquarry.plans.aggregates import COARSE, PITCH, VOXELS_SQL, Grid, voxels
 from morphoquarry.plans.p4 import _TREE
 from morphoquarry.sources.tables import OBJECTS_SQL, objects, table
 
@@ -27,36 +27,36 @@ def query(sql: str | None = None):
     return add
 
 
-def _places(spark: SparkSession, d: str) -> DataFrame:
-    return voxels(spark, d).groupBy("ex_i", (F.col("y") / PITCH).cast("long").alias("y"), (F.col("x") / PITCH).cast("long").alias("x")).agg(F.min("poly_id").alias("poly_id"))
+def _places(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
+    return voxels(spark, d, grid).groupBy("ex_i", (F.col("y") / grid.pitch).cast("long").alias("y"), (F.col("x") / grid.pitch).cast("long").alias("x")).agg(F.min("poly_id").alias("poly_id"))
 
 
 _STEPS = "(VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) o(dy, dx)"
 
 
 @query(f"WITH p AS (SELECT * FROM {{P}}), g AS (SELECT p.ex_i, p.y + dy AS y, p.x + dx AS x, min(p.poly_id) AS poly_id FROM p, {_STEPS} GROUP BY ALL) SELECT ex_i, y, x, poly_id FROM p UNION ALL SELECT ex_i, y, x, poly_id FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.ex_i = g.ex_i AND p.y = g.y AND p.x = g.x)")
-def dilate_labels(spark: SparkSession, d: str) -> DataFrame:
-    return m.dilate(_places(spark, d), ["ex_i"], ["y", "x"], "poly_id")
+def dilate_labels(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
+    return m.dilate(_places(spark, d, grid), ["ex_i"], ["y", "x"], "poly_id")
 
 
 @query(f"WITH p AS (SELECT * FROM {{P}}) SELECT p.ex_i, p.y, p.x, p.poly_id FROM p, {_STEPS}, p q WHERE q.ex_i = p.ex_i AND q.y = p.y + dy AND q.x = p.x + dx AND q.poly_id = p.poly_id GROUP BY ALL HAVING count(*) = 4")
-def erode_labels(spark: SparkSession, d: str) -> DataFrame:
-    return m.erode(_places(spark, d), ["ex_i"], ["y", "x"], "poly_id")
+def erode_labels(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
+    return m.erode(_places(spark, d, grid), ["ex_i"], ["y", "x"], "poly_id")
 
 
 @query(f"WITH p AS (SELECT * FROM {{P}}), k AS (SELECT p.ex_i, p.y, p.x, count(q.ex_i) AS n FROM p CROSS JOIN {_STEPS} LEFT JOIN p q ON q.ex_i = p.ex_i AND q.y = p.y + dy AND q.x = p.x + dx AND q.poly_id = p.poly_id GROUP BY ALL) SELECT ex_i, y, x FROM k WHERE n < 4")
-def mask_outlines(spark: SparkSession, d: str) -> DataFrame:
-    return m.outline_places(_places(spark, d), ["ex_i"], ["y", "x"], "poly_id").select("ex_i", "y", "x")
+def mask_outlines(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
+    return m.outline_places(_places(spark, d, grid), ["ex_i"], ["y", "x"], "poly_id").select("ex_i", "y", "x")
 
 
 @query()
-def shrink_objects(spark: SparkSession, d: str) -> DataFrame:
-    return m.shrink(_places(spark, d), ["ex_i"], ["y", "x"], "poly_id", 3)
+def shrink_objects(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
+    return m.shrink(_places(spark, d, grid), ["ex_i"], ["y", "x"], "poly_id", 3)
 
 
 @query("SELECT ex_i, CAST(floor(y / 4) AS BIGINT) AS y, CAST(floor(x / 4) AS BIGINT) AS x, round(avg(poly_id), 6) AS v FROM {P} GROUP BY ex_i, 2, 3")
-def downsample_mean(spark: SparkSession, d: str) -> DataFrame:
-    rows = _places(spark, d).withColumn("v", F.col("poly_id").cast("double"))
+def downsample_mean(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
+    rows = _places(spark, d, grid).withColumn("v", F.col("poly_id").cast("double"))
     return m.downsample(rows, ["ex_i"], ["y", "x"], "v", 4).withColumn("v", F.round("v", 6))
 
 
@@ -66,16 +66,16 @@ def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def flood_from_seeds(spark: SparkSession, d: str) -> DataFrame:
-    p = _places(spark, d)
+def flood_from_seeds(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
+    p = _places(spark, d, grid)
     first = p.groupBy("ex_i", "poly_id").agg(F.min(F.struct("y", "x")).alias("s")).select("ex_i", "poly_id", "s.y", "s.x", F.col("poly_id").alias("seed"))
     rows = p.join(first, ["ex_i", "poly_id", "y", "x"], "left").withColumn("v", F.pmod(F.col("y") * 7 + F.col("x") * 13, F.lit(32)).cast("double"))
     return m.flood(rows, ["ex_i"], ["y", "x"], "v", "seed")
 
 
 @query()
-def skeleton_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return m.skeleton_length(_places(spark, d), ["ex_i"], "poly_id").withColumn("length", F.round("length", 6))
+def skeleton_lengths(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
+    return m.skeleton_length(_places(spark, d, grid), ["ex_i"], "poly_id").withColumn("length", F.round("length", 6))
 
 
 @query("SELECT obj_id, round((v - min(v) OVER p) / (max(v) OVER p - min(v) OVER p), 9) AS scaled FROM (SELECT obj_id, colocal_id, greatest(least(intensity_mean, 5000), 0) AS v FROM {OBJ} WHERE intensity_mean IS NOT NULL) WINDOW p AS (PARTITION BY colocal_id)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from morphoquarry.operators import geometry as g
 from morphoquarry.operators import neighbours as n
 from morphoquarry.operators.proximity import containing_polygons, near_pairs
-from morphoquarry.plans.aggregates import PITCH, POLY_SQL, VOXELS_SQL, polygons, voxels
+from morphoquarry.plans.aggregates import COARSE, PITCH, POLY_SQL, VOXELS_SQL, Grid, polygons, voxels
 from morphoquarry.sources.tables import OBJECTS_SQL, objects, table
 
 QUERIES, SQL = {}, {}
@@ -119,10 +119,13 @@ def nearest_polygon(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT p.obj_id, coalesce(min(v.label), 0) AS roi FROM {{PTS}} p LEFT JOIN {{VOX}} v ON v.ex_i = p.ex_i AND v.y = round_even(p.y / {PITCH}, 0) * {PITCH} AND v.x = round_even(p.x / {PITCH}, 0) * {PITCH} GROUP BY p.obj_id""")
-def raster_lookup(spark: SparkSession, d: str) -> DataFrame:
-    at = points(spark, d).select("obj_id", "ex_i", (F.rint(F.col("y") / PITCH) * PITCH).alias("y"), (F.rint(F.col("x") / PITCH) * PITCH).alias("x"))
-    first = voxels(spark, d).groupBy("ex_i", "y", "x").agg(F.min("label").alias("label"))
-    return at.join(first, ["ex_i", "y", "x"], "left").select("obj_id", F.coalesce("label", F.lit(0)).alias("roi"))
+def raster_lookup(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
+    """Points meet the runs of their line, so that no place without a point is made. The merge join: Spark takes exploded rows for few."""
+    at = points(spark, d).select("obj_id", "ex_i", F.rint(F.col("y") / grid.pitch).cast("long").alias("row"), F.rint(F.col("x") / grid.pitch).cast("long").alias("col"))
+    runs = g.spans(polygons(spark, d), ["ex_i", "poly_id", "label"], "ring", grid.pitch, "holes" if grid.holes else None)
+    met = at.join(runs.hint("merge"), ["ex_i", "row"], "left")
+    here = (F.col("lo") <= F.col("col")) & (F.col("col") <= F.col("hi")) & ~g.in_hole(F.col("col"))
+    return met.groupBy("obj_id").agg(F.coalesce(F.min(F.when(here, F.col("label"))), F.lit(0)).alias("roi"))
 
 
 @query("""WITH v AS (SELECT ex_i, poly_id, y, x FROM {VOX}), a AS (SELECT ex_i, poly_id, avg(y) AS cy, avg(x) AS cx FROM v WHERE poly_id % 2 = 0 GROUP BY ALL),
@@ -177,6 +180,6 @@ def clipped_area(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def polygonise(spark: SparkSession, d: str) -> DataFrame:
-    v = voxels(spark, d).select("ex_i", "poly_id", (F.col("y") / PITCH).cast("long").alias("y"), (F.col("x") / PITCH).cast("long").alias("x"))
+def polygonise(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
+    v = voxels(spark, d, grid).select("ex_i", "poly_id", (F.col("y") / grid.pitch).cast("long").alias("y"), (F.col("x") / grid.pitch).cast("long").alias("x"))
     return g.outlines(v, ["ex_i"], "poly_id")
