@@ -1,21 +1,62 @@
 """Raster queries over every pixel, holes left out.
 
-The queries of the same names without ``pixel_`` are held against SQL that samples a grid of pitch 8 and fills holes.
+The queries of the same names without ``pixel_`` are held against SQL that samples a grid of pitch 8, fills holes and
+takes only objects of other parity for the other population. Here every object is compared with all others of its
+example; where populations matter they are the channels, NULL being one of them.
 """
 
 from __future__ import annotations
 
 from functools import partial
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from morphoquarry.operators import geometry as g
+from morphoquarry.operators import runs as r
+from morphoquarry.operators.twostage import stable
 from morphoquarry.plans import aggregates, graphs, rasters, spatial
-from morphoquarry.plans.aggregates import Grid
+from morphoquarry.plans.aggregates import Grid, polygons
 
 PIXELS = Grid(1.0, True)
+#: Pixels up to which objects count as near: the two steps of the grid of pitch 8.
+NEAR = 16
 _SAME = [
     aggregates.rasterise, aggregates.region_properties, aggregates.axis_max_projection, aggregates.label_extent, aggregates.densest_tile,
     spatial.raster_lookup, spatial.polygonise, graphs.label_components,
     rasters.dilate_labels, rasters.erode_labels, rasters.mask_outlines, rasters.shrink_objects, rasters.downsample_mean, rasters.flood_from_seeds, rasters.skeleton_lengths,
 ]
+
+
+def _runs(spark: SparkSession, d: str, keys: list[str]) -> DataFrame:
+    polys = polygons(spark, d).where("ex_i IS NOT NULL AND poly_id IS NOT NULL").select(F.col("ex_i").alias("ex"), F.col("poly_id").alias("id"), F.coalesce("channel", F.lit(-1)).alias("c"), "ring", "holes")
+    return stable(r.solid(g.spans(polys, keys, "ring", PIXELS.pitch, "holes"), keys))
+
+
+def pixel_max_overlap_assign(spark: SparkSession, d: str) -> DataFrame:
+    """The other object that shares most pixels with each; ties go to the smaller id."""
+    runs = _runs(spark, d, ["ex", "id"])
+    n = r.sizes(runs)
+    best = r.shared(runs).groupBy("ex", "id").agg(F.min_by(F.struct("other", "shared"), F.struct(-F.col("shared"), F.col("other"))).alias("s")).select("ex", "id", "s.*")
+    full = best.join(n.select("ex", "id", "n"), ["ex", "id"]).join(n.select("ex", F.col("id").alias("other"), F.col("n").alias("m")), ["ex", "other"])
+    return full.select(F.col("ex").alias("ex_i"), F.col("id").alias("left_id"), F.col("other").alias("right_id"), "shared", F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 9).alias("iou"))
+
+
+def pixel_coords_first_hit(spark: SparkSession, d: str) -> DataFrame:
+    return r.first_hits(_runs(spark, d, ["ex", "id"])).select(F.col("ex").alias("ex_i"), F.col("id").alias("poly_id"), F.col("other").alias("region"))
+
+
+def pixel_overlap_coloc_iou(spark: SparkSession, d: str) -> DataFrame:
+    out = r.triple_shares(_runs(spark, d, ["ex", "id", "c"]))
+    return out.select(F.col("ex").alias("ex_i"), F.col("id").alias("base"), F.col("first").alias("ch1"), F.col("second").alias("ch2"), F.round("share", 9).alias("iou"))
+
+
+def pixel_min_distance_assign(spark: SparkSession, d: str) -> DataFrame:
+    out = r.nearest(_runs(spark, d, ["ex", "id"]), NEAR)
+    return out.select(F.col("ex").alias("ex_i"), F.col("id").alias("poly_id"), F.col("other").alias("target"), F.round("d", 6).alias("distance"))
+
+
 QUERIES = {f"pixel_{fn.__name__}": partial(fn, grid=PIXELS) for fn in _SAME}
+QUERIES |= {fn.__name__: fn for fn in (pixel_max_overlap_assign, pixel_coords_first_hit, pixel_overlap_coloc_iou, pixel_min_distance_assign)}
 #: Held against brute force in tests/test_pixels.py; SQL would be too slow.
 SQL: dict[str, str] = {}

@@ -1,6 +1,7 @@
 """Raster queries over every pixel, against brute force."""
 
 import math
+import random
 
 import pytest
 
@@ -62,3 +63,34 @@ def test_lookup_at_every_pixel(spark):
         want[p.obj_id] = min((n for n, ring, holes in of.get(p.ex_i, []) if inside(ring, y, x) and not any(inside(h, y, x) for h in holes)), default=0)
     whole, coarse = ({r.obj_id: r.roi for r in q(spark, d).collect()} for q in (pixels.QUERIES["pixel_raster_lookup"], raster_lookup))
     assert whole == want and any(want.values()) and coarse != want
+
+
+def test_every_pair_is_compared(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [*ROWS, *[(100 + 2 * i, "c", 1, 0, c, BOX(3.0 * i, 2.0 * i, 15.0, 12.0), None) for i, c in enumerate((None, 0, 1, 0))]]
+    for i in range(10, 34):
+        x, y, w, h = rng.randrange(50), rng.randrange(50), rng.randrange(3, 22), rng.randrange(3, 22)
+        rows.append((i, rng.choice("ab"), 1, 0, rng.choice([None, 0, 1, 2]), BOX(float(x), float(y), float(w), float(h)), [BOX(x + 1.0, y + 1.0, w / 2, h / 2), BOX(x + 2.5, y + 1.5, w / 2, h / 3)] if i % 2 else None))
+    spark.createDataFrame(rows + rows[:3], SCHEMA).write.parquet(f"{tmp_path}/roi_polygons.parquet")
+    masks = {r[0]: (r[1], mask(r[5], r[6]), -1 if r[4] is None else r[4]) for r in rows}
+    others = lambda a: [b for b in masks if b != a and masks[b][0] == masks[a][0] and masks[b][1]]
+    common = lambda *ids: set.intersection(*[masks[i][1] for i in ids])
+    overlap, hit, triple, near = {}, {}, {}, {}
+    for a, (_, m, c) in masks.items():
+        found = [b for b in others(a) if common(a, b)]
+        if found:
+            b = min(found, key=lambda b: (-len(common(a, b)), b))
+            overlap[a] = (b, len(common(a, b)), round(len(common(a, b)) / len(m | masks[b][1]), 9))
+            cy, cx = sum(p[0] for p in m) / len(m), sum(p[1] for p in m) / len(m)
+            hit[a] = min((round((p[0] - cy) ** 2 + (p[1] - cx) ** 2, 6), b) for b in found for p in common(a, b))[1]
+        best = {k: min((b for b in found if masks[b][2] == k), key=lambda b: (-len(common(a, b)), b)) for k in {masks[b][2] for b in found} - {c}}
+        triple |= {(a, best[i], best[j]): round(len(common(a, best[i], best[j])) / len(m), 9) for i in best for j in best if i < j and common(a, best[i], best[j])}
+        gaps = [(min((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 for p in m for q in masks[b][1]), b) for b in others(a)] if m else []
+        if gaps and min(gaps)[0] <= 256:
+            near[a] = (min(gaps)[1], round(min(gaps)[0] ** 0.5, 6))
+    run = lambda name: pixels.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.left_id: (r.right_id, r.shared, r.iou) for r in run("pixel_max_overlap_assign")} == overlap
+    assert {r.poly_id: r.region for r in run("pixel_coords_first_hit")} == hit
+    assert {(r.base, r.ch1, r.ch2): r.iou for r in run("pixel_overlap_coloc_iou")} == triple
+    assert {r.poly_id: (r.target, r.distance) for r in run("pixel_min_distance_assign")} == near
+    assert triple and any(a % 2 == b % 2 for a, (b, *_) in overlap.items()) and any(0 < v for _, v in near.values())
