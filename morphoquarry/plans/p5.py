@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +18,17 @@ def _at(element, *path):
     return opened(element)
 
 
+def _text(value):
+    """JSON of objects, lists and numbers; text as it is."""
+    return value if isinstance(value, str) or value is None else json.dumps(value, ensure_ascii=False)
+
+
 def _dispatcher(d):
     meta = _at(d, "exmd", "image_metadata")
     scaling = meta.get("scaling") if isinstance(meta, dict) else None
-    kept = {k: meta.get(k) for k in ("shape", "mag", "ch_wavelengths", "zooms")} if isinstance(meta, dict) else {}
-    return {"name": d.get("ex_i"), "status": d.get("status"), "image_path": _at(d, "exmd", "image_path"), "scaling": scaling if isinstance(scaling, str) or scaling is None else str(scaling), "shape": kept.get("shape"), "mag": kept.get("mag")}
+    kept = {k: meta.get(k) for k in ("shape", "mag")} if isinstance(meta, dict) else {}
+    whole = {k: _text(_at(meta, k)) for k in ("ch_wavelengths", "zooms")}
+    return {"name": d.get("ex_i"), "status": d.get("status"), "image_path": _at(d, "exmd", "image_path"), "scaling": scaling if isinstance(scaling, str) or scaling is None else str(scaling), "shape": kept.get("shape"), "mag": kept.get("mag"), **whole}
 
 
 def _channel_position(order, key, element):
@@ -58,8 +66,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_image_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    rows = apply_schema(_elements(spark, folder), "dispatcher", "name string, status string, image_path string, scaling string, shape array<long>, mag double")
-    return rows.select(F.col("record").alias("run_id"), F.col("pos").alias("disp_i"), F.col("name").alias("ex_i"), "status", "image_path", "scaling", F.to_json("shape").alias("shape"), "mag")
+    rows = apply_schema(_elements(spark, folder), "dispatcher", "name string, status string, image_path string, scaling string, shape array<long>, mag double, ch_wavelengths string, zooms string")
+    return rows.select(F.col("record").alias("run_id"), F.col("pos").alias("disp_i"), F.col("name").alias("ex_i"), "status", "image_path", "scaling", F.to_json("shape").alias("shape"), "mag", "ch_wavelengths", "zooms")
 
 
 def _open(x: str) -> str:
