@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphoquarry.operators.twostage import with_percentiles
 
 #: Rows that k-medoids are fitted on, and repeats; the whole table is assigned.
-CLARA_SAMPLE, CLARA_REPEATS = 2_000, 5
+CLARA_SAMPLE, CLARA_REPEATS = 100_000, 5
+#: Rows whose distances to each other are held at once; beyond them they are made in tiles, again for each step.
+PAM_ROWS, PAM_TILE = 2_000, 2_000_000
+#: Trees of the forest, and shuffles of each feature.
+TREES, SHUFFLES = 400, 15
 #: Most categories of a column that is one-hot encoded; they become columns.
 CATEGORIES = 1_000
 
@@ -114,6 +118,57 @@ def pam(points: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
     return np.array(sorted(medoids))
 
 
+def pam_tiled(spark: SparkSession, points: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
+    """``pam`` without holding the distances: every step weighs all points as medoids, in tiles spread over the tasks."""
+    n = len(points)
+    points = points - points.mean(0)
+    k, tasks = min(k, n), max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
+    sent, rows = spark.sparkContext.broadcast(points), max(1, PAM_TILE // n)
+
+    def distances(x: np.ndarray, at) -> np.ndarray:
+        d = np.add.outer((x[at] ** 2).sum(1), (x**2).sum(1)) - 2 * (x[at] @ x.T)
+        return np.sqrt(np.maximum(d, 0, out=d), out=d)
+
+    def weighed(fn) -> np.ndarray:
+        """``fn(distances of a tile)``, rows by point, of all points."""
+
+        def run(batches):
+            x = sent.value
+            for pdf in batches:
+                for t in pdf["id"]:
+                    ids = np.arange(n * t // tasks, n * (t + 1) // tasks)
+                    for i in range(0, len(ids), rows):
+                        at = ids[i : i + rows]
+                        yield pd.DataFrame({"at": at, "v": list(fn(distances(x, at)))})
+
+        got = spark.range(tasks, numPartitions=tasks).mapInPandas(run, "at long, v array<double>").toPandas().sort_values("at")
+        return np.array(got["v"].tolist())
+
+    medoids = [int(weighed(lambda d: d.sum(1)[:, None])[:, 0].argmin())]
+    while len(medoids) < k:
+        nearest = distances(points, medoids).min(0)
+        gain = weighed(lambda d: np.maximum(nearest - d, 0).sum(1)[:, None])[:, 0]
+        gain[medoids] = -1
+        medoids.append(int(gain.argmax()))
+    for _ in range(rounds):
+        near = distances(points, medoids)
+        own, first = near.argmin(0), near.min(0)
+        near[own, np.arange(n)] = np.inf
+        second, mine = near.min(0), np.eye(k)[own]
+
+        def totals(d: np.ndarray) -> np.ndarray:
+            kept = np.minimum(d, first)
+            return kept.sum(1)[:, None] + (np.minimum(d, second) - kept) @ mine
+
+        cost = weighed(totals)
+        at, i = np.unravel_index(cost.argmin(), cost.shape)
+        if not cost[at, i] < first.sum() * (1 - 1e-12):
+            break
+        medoids[i] = int(at)
+    sent.unpersist()
+    return np.array(sorted(medoids))
+
+
 def clara(df: DataFrame, features: list[str], k: int, order: str, seed: int = 1, sample: int = CLARA_SAMPLE, repeats: int = CLARA_REPEATS) -> tuple[DataFrame, np.ndarray]:
     """Adds cluster and score by k-medoids: fitted on bounded samples, the medoids of least total distance over the whole table kept."""
     rows = df.dropna(subset=features)
@@ -122,7 +177,7 @@ def clara(df: DataFrame, features: list[str], k: int, order: str, seed: int = 1,
         draw = rows.orderBy(F.xxhash64(F.lit(seed + i), F.col(order)), order).limit(sample).select(*features).toPandas().to_numpy(float)
         if not len(draw):
             return rows.withColumns({"cluster": F.lit(0), "score": F.lit(0.0)}), np.zeros((0, len(features)))
-        centres = draw[pam(draw, k)]
+        centres = draw[pam(draw, k) if len(draw) <= PAM_ROWS else pam_tiled(df.sparkSession, draw, k)]
         centres = centres[np.lexsort(centres.T[::-1])]
         cost = assign_nearest(rows, features, centres).agg(F.sum(1 / F.col("score") - 1)).first()[0]
         if best_cost is None or cost < best_cost:
@@ -139,8 +194,8 @@ def within_groups(df: DataFrame, group: str, fit) -> DataFrame:
     return out
 
 
-def permutation_importance(df: DataFrame, features: list[str], label: str, order: str, seed: int = 1, trees: int = 20) -> DataFrame:
-    """(feature, importance): how much of a random forest's accuracy a feature's shuffling costs."""
+def permutation_importance(df: DataFrame, features: list[str], label: str, order: str, seed: int = 1, trees: int = TREES, shuffles: int = SHUFFLES) -> DataFrame:
+    """(feature, importance): how much of a random forest's accuracy a feature's shuffling costs, on average over the shuffles."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
@@ -151,9 +206,9 @@ def permutation_importance(df: DataFrame, features: list[str], label: str, order
     model = RandomForestClassifier(featuresCol="_mq_v", labelCol="_mq_y", numTrees=trees, seed=seed).fit(vector.transform(rows))
     right = lambda d: model.transform(vector.transform(d)).agg(F.avg((F.col("prediction") == F.col("_mq_y")).cast("double"))).first()[0] or 0.0
     whole, out = right(rows), []
-    ranged = rows.withColumn("_mq_g", F.pmod(F.xxhash64(F.col(order)), F.lit(64)))
+    ranged = rows.withColumn("_mq_g", F.pmod(F.xxhash64(F.col(order)), F.lit(64))).withColumn("_mq_s", F.explode(F.sequence(F.lit(1), F.lit(shuffles))))
     for f in features:
-        mixed = shuffled_within(ranged, f, ["_mq_g"], [order], seed, "_mq_f").withColumn(f, F.col("_mq_f"))
+        mixed = shuffled_within(ranged, f, ["_mq_g", "_mq_s"], [order, "_mq_s"], seed, "_mq_f").withColumn(f, F.col("_mq_f"))
         out.append((f, float(whole - right(mixed))))
     return df.sparkSession.createDataFrame(out, "feature string, importance double")
 

@@ -114,7 +114,7 @@ def kmeans_within_groups(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def clara_assign(spark: SparkSession, d: str) -> DataFrame:
     rows = l.standard_scaled(_synapses(spark, d).dropna(subset=FEATURES), FEATURES)
-    return l.clara(rows, FEATURES, 4, "synapse_id", sample=500, repeats=3)[0].select("synapse_id", "cluster", F.round("score", 6).alias("score"))
+    return l.clara(rows, FEATURES, 4, "synapse_id")[0].select("synapse_id", "cluster", F.round("score", 6).alias("score"))
 
 
 @query()
