@@ -3,39 +3,45 @@
 from __future__ import annotations
 
 import html
+import itertools
 import re
 import unicodedata
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphoquarry.sources.tables import table
 
-#: Words of a fingerprint, and fingerprints of a window. Every shared run of GRAM + WINDOW − 1 = 6 words is found.
+#: Most words of a fingerprint, and fingerprints of a window. Every shared run of GRAM + WINDOW − 1 = 6 words is found.
 GRAM, WINDOW = 5, 2
 #: Consecutive words that make a leak.
 SPAN = 12
-#: Of an item's words, one in so many may be replaced, dropped or added. An item so changed keeps a run of six words whole.
+#: Of an item's words, one in so many may be replaced, dropped or added.
 ONE_IN = 7
 #: Items of a block; the corpus is read once for each block, whose words and fingerprints (under 30 MB) are broadcast.
 BLOCK_ITEMS = 20_000
+#: Words of documents that are fingerprinted at a time.
+FLUSH_WORDS = 500_000
 
 _TAGS = re.compile(r"</?[A-Za-z!][^<>]*>")
 #: Blocks that hold no text, with what ends them.
 _BLOCKS = ((re.compile(r"<!--.*?-->", re.S), "-->"), (re.compile(r"<script\b.*?</script\s*>", re.S | re.I), "</script"), (re.compile(r"<style\b.*?</style\s*>", re.S | re.I), "</style"))
 _INLINE = re.compile(r"</?(?:a|abbr|b|code|em|font|i|mark|s|small|span|strong|sub|sup|tt|u)\b[^<>]*>", re.I)
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^()\s]*\)")
-_BREAK = re.compile(r"(?<=\w)[-\u00ad\u2010\u2011][ \t]*+(?>(?:\n[ \t>*+|#\-]*+)++)(?=[^\W\d_])")
+_BREAK = re.compile(r"[-­‐‑](?<=\w.)[ \t]*+(?>(?:\n[ \t>*+|#\-]*+)++)(?=[^\W\d_])")
 _SIGN = r"[>|*+#•·‣\-–—]+|\[[ xX]?\]|\[\d{1,2}:\d{2}(?::\d{2})?\](?:\s*\w+:)?"
 _COUNT = r"\(?(?:\d{1,4}|[A-Za-z])[.):]|\d{1,4}(?=\t| {2,})"
 #: What may stand before a line's words. A number there may be a mark or the text's own, so each reading is tried.
-_LINE_MARKS = (re.compile(rf"^[ \t]*(?:(?:{_SIGN}|{_COUNT})[ \t]*)+", re.M), re.compile(rf"^[ \t]*(?:{_SIGN}|{_COUNT})[ \t]*", re.M), re.compile(rf"^[ \t]*(?:(?:{_SIGN})[ \t]*)+", re.M))
-_INNER = re.compile(r"(?<=\w)[-'’ʼ­‐‑](?=\w)")
+_ALL_MARKS = re.compile(rf"\n[ \t]*(?:(?:{_SIGN}|{_COUNT})[ \t]*)+")
+_FEWER_MARKS = (re.compile(rf"\n[ \t]*(?:{_SIGN}|{_COUNT})[ \t]*"), re.compile(rf"\n[ \t]*(?:(?:{_SIGN})[ \t]*)+"))
+_SIGNS, _LETTER = re.compile(_SIGN), re.compile(r"[^\W_]")
+_INNER = re.compile(r"[-'’ʼ­‐‑](?<=\w.)(?=\w)")
 _HIDDEN = re.compile(r"[­​-‏⁠﻿‪-‮]")
 _WORD = re.compile(r"[^\W_]+")
+#: ASCII letters in lower case and digits; all else parts words.
+_LOWER = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in bytes(range(256)).lower())
 
 
 def _without_blocks(text: str) -> str:
@@ -48,111 +54,139 @@ def _without_blocks(text: str) -> str:
     return text
 
 
-def readings(text: str | None) -> list[list[str]]:
+def _tokens(text: str) -> list[bytes]:
+    text = _INNER.sub("", text)
+    if text.isascii():
+        return text.encode().translate(_LOWER, b"*`").split()
+    return [w.encode() for w in _WORD.findall(text.replace("*", "").replace("`", "").replace("_", " ").casefold())]
+
+
+def encoded_readings(text: str | None) -> list[list[bytes]]:
     """The words by which texts are compared: without markup, line marks, hyphens of line breaks, case, punctuation or variant encodings.
 
-    The first reading leaves out all marks and numbers at line starts, the others one of them or marks only, where that
-    differs.
+    The first reading leaves out all marks and numbers at line starts. Where numbers or single letters stand there, the
+    others leave out one of them, or marks only.
     """
     if not text:
         return [[]]
     text = unicodedata.normalize("NFKC", html.unescape(text)) if "&" in text or not text.isascii() else text
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    text = "\n" + (text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text)
     if "<" in text:
         text = _TAGS.sub("\n", _INLINE.sub("", _without_blocks(text)))
     if "](" in text:
         text = _LINK.sub(r"\1", text)
     if not text.isascii():
-        text = _HIDDEN.sub("", text.replace("\u00ad\n", "-\n"))
+        text = _HIDDEN.sub("", text.replace("­\n", "-\n"))
     text = _BREAK.sub("", text)
-    out: list[list[str]] = []
-    seen = set()
-    for marks in _LINE_MARKS:
-        bare = marks.sub("", text)
-        if bare not in seen:
-            seen.add(bare)
-            tokens = _WORD.findall(_INNER.sub("", bare.replace("*", "").replace("`", "").replace("_", " ")).casefold())
+    met: list[str] = []
+
+    def leave(found: re.Match) -> str:
+        met.append(found[0])
+        return "\n"
+
+    out = [_tokens(_ALL_MARKS.sub(leave, text))]
+    if _LETTER.search(_SIGNS.sub(" ", "".join(met))):
+        for marks in _FEWER_MARKS:
+            tokens = _tokens(marks.sub("\n", text))
             if tokens not in out:
                 out.append(tokens)
     return out
 
 
-def words(text: str | None) -> list[str]:
-    return readings(text)[0]
-
-
-class Hasher:
-    """Words to 64-bit numbers, with a memory of those met."""
+def readings(text: str | None) -> list[list[str]]:
+    return [[w.decode() for w in tokens] for tokens in encoded_readings(text)]
 
-    def __init__(self, most: int = 500_000):
-        self.known: dict[str, int] = {}
-        self.most = most
 
-    def __call__(self, tokens: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        out = []
-        for t in tokens:
-            h = known.get(t)
-            if h is None:
-                h = known[t] = xxhash.xxh64_intdigest(t)
-            out.append(h)
-        return np.array(out, np.uint64)
+def words(text: str | None) -> list[str]:
+    return readings(text)[0]
 
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_hashes(word_hashes: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """A number for each run of ``gram`` words."""
-    n = len(word_hashes) - gram + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+def gram_hashes(codes: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
+    """A number for the run of ``gram`` words from each position of ``at``."""
+    out = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(gram):
-            out = out * _MULTIPLIER + word_hashes[i : i + n]
+            out = out * _MULTIPLIER + codes[at + i].astype(np.uint64)
         out ^= out >> np.uint64(31)
-        return out * _MULTIPLIER
+        out *= _MULTIPLIER
+        return out ^ (out >> np.uint64(29))
 
 
-def winnow(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Positions of the smallest gram of each window; texts shorter than a window keep their smallest."""
-    if len(grams) == 0:
+def runs(codes: np.ndarray, gram: int) -> np.ndarray:
+    """Positions from which ``gram`` words follow each other without a 0, which stands for a word of no item or the end of a text."""
+    if len(codes) < gram:
         return np.zeros(0, np.int64)
-    if len(grams) <= window:
-        return np.array([int(grams.argmin())])
-    view = np.lib.stride_tricks.sliding_window_view(grams, window)
-    return np.unique(np.arange(len(view)) + view.argmin(1))
-
-
-def longest_run(a: np.ndarray, b: np.ndarray, hits: list[tuple[int, int]]) -> int:
-    """The longest run of equal words through any hit (position in a, position in b)."""
-    best, done = 0, set()
-    for i, j in hits:
-        if (i, j) in done:
-            continue
-        x, y = i, j
-        while x > 0 and y > 0 and a[x - 1] == b[y - 1]:
-            x, y = x - 1, y - 1
-        start = x
-        while x < len(a) and y < len(b) and a[x] == b[y]:
-            done.add((x, y))
-            x, y = x + 1, y + 1
-        best = max(best, x - start)
-    return best
-
-
-def holds_whole(item: np.ndarray, doc: np.ndarray, hits: list[tuple[int, int]], most: int) -> bool:
+    known = np.concatenate([[0], np.cumsum(codes != 0)])
+    return np.flatnonzero(known[gram:] - known[:-gram] == gram)
+
+
+def winnow(at: np.ndarray, grams: np.ndarray, window: int) -> np.ndarray:
+    """Which of the grams at ascending positions are the smallest of some window of ``window`` positions; equal ones: the first.
+
+    A window that holds no gram at some positions keeps the smallest of those it has, so runs of fewer grams than a
+    window keep one too.
+    """
+    if window == 1 or not len(at):
+        return np.arange(len(at))
+    size = int(at[-1]) + 1 + 2 * (window - 1)
+    dense = np.full(size, np.iinfo(np.uint64).max)
+    dense[at + window - 1] = grams
+    best = np.arange(size - window + 1)
+    low = dense[best].copy()
+    for step in range(1, window):
+        other = dense[step : step + len(best)]
+        less = other < low
+        best[less] = np.flatnonzero(less) + step
+        low[less] = other[less]
+    keep = np.zeros(size, bool)
+    keep[best] = True
+    return np.flatnonzero(keep[at + window - 1])
+
+
+def least_run(words_of_item: int) -> int:
+    """The run of words that a copy keeps whole at least, wherever one word in ``ONE_IN`` is replaced, dropped or added."""
+    changes = words_of_item // ONE_IN
+    return -(-(words_of_item - changes) // (changes + 1))
+
+
+def fingerprint_shape(words_of_item: int) -> tuple[int, int]:
+    """(words, window) so that a run of the item's ``least_run`` words holds a whole window."""
+    run = least_run(words_of_item)
+    gram = min(GRAM, run)
+    return gram, min(WINDOW, run - gram + 1)
+
+
+def run_lengths(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each pair of positions (i in a, j in b) the longest run of equal words through it; 0 in b equals nothing."""
+    length = np.zeros(len(i), np.int64)
+    for step, x, y in ((1, i, j), (-1, i - 1, j - 1)):
+        left = np.arange(len(i))
+        while len(left):
+            left = left[(x[left] >= 0) & (x[left] < len(a)) & (y[left] >= 0) & (y[left] < len(b))]
+            left = left[(a[x[left]] == b[y[left]]) & (b[y[left]] > 0)]
+            length[left] += 1
+            x, y = x + step, y + step
+    return length
+
+
+def least_hits(words_of_item: int) -> int:
+    """Winnowed fingerprints that a copy with the permitted changes shares with the item at least: one for each window of its whole runs."""
+    gram, window = fingerprint_shape(words_of_item)
+    changes = words_of_item // ONE_IN
+    return max(1, -(-(words_of_item - changes - (gram + window - 2) * (changes + 1)) // window))
+
+
+def holds_whole(item: np.ndarray, doc: np.ndarray, offsets: np.ndarray, most: int) -> bool:
     """Whether some part of doc becomes the item by at most ``most`` words replaced, dropped or added.
 
-    Only columns near the diagonals of hits are looked at: with so few edits, the part lies within ``most`` words of one.
+    ``offsets``: of hits, the position in doc less that in the item. Only columns near the diagonals of hits are looked at: with so few edits, the part lies within ``most`` words of one.
     """
     n = len(item)
-    offsets = sorted({j - i for i, j in hits})
     ranges: list[list[int]] = []
-    for o in offsets:
+    for o in np.unique(offsets).tolist():
         lo, hi = max(0, o - most), min(len(doc), o + n + most)
         if ranges and lo <= ranges[-1][1]:
             ranges[-1][1] = max(ranges[-1][1], hi)
@@ -178,62 +212,84 @@ def holds_whole(item: np.ndarray, doc: np.ndarray, hits: list[tuple[int, int]],
 
 
 class Items:
-    """The held-out side: words and winnowed fingerprints, sorted for lookups of whole arrays."""
+    """The held-out side: words by number, and for each shape of fingerprints the winnowed ones, sorted for lookups of whole arrays."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
-        hasher = Hasher()
-        self.ids, self.words = ids, [hasher(words(t)) for t in texts]
-        grams, where, at = [], [], []
-        for k, w in enumerate(self.words):
-            g = gram_hashes(w)
-            keep = winnow(g)
-            grams.append(g[keep])
-            where.append(np.full(len(keep), k))
-            at.append(keep)
-        order = np.argsort(np.concatenate(grams), kind="stable") if grams else np.zeros(0, int)
-        self.grams = np.concatenate(grams)[order] if grams else np.zeros(0, np.uint64)
-        self.item = np.concatenate(where)[order] if grams else np.zeros(0, int)
-        self.at = np.concatenate(at)[order] if grams else np.zeros(0, int)
-
-    def parts(self) -> tuple:
-        return self.ids, self.words, self.grams, self.item, self.at
-
-    @classmethod
-    def of(cls, parts: tuple) -> "Items":
-        out = cls.__new__(cls)
-        out.ids, out.words, out.grams, out.item, out.at = parts
-        return out
-
-    def leaked(self, doc: np.ndarray) -> list[int]:
-        """Ids of the items of which the document, given as word hashes, holds SPAN words in a row or nearly the whole."""
-        found = []
-        grams = gram_hashes(doc)
-        keep = winnow(grams)
-        prints = grams[keep]
-        lo = np.searchsorted(self.grams, prints, "left")
-        hi = np.searchsorted(self.grams, prints, "right")
-        met = np.flatnonzero(hi > lo)
-        hits: dict[int, list[tuple[int, int]]] = {}
-        for p in met:
-            for q in range(lo[p], hi[p]):
-                hits.setdefault(int(self.item[q]), []).append((int(self.at[q]), int(keep[p])))
-        held = np.unique(doc) if hits else doc
-        for k, pairs in hits.items():
-            item = self.words[k]
-            most = len(item) // ONE_IN
+        self.ids, self.number, self.words, shapes = ids, {}, [], {}
+        for k, text in enumerate(texts):
+            item = np.array([self.number.setdefault(w, len(self.number) + 1) for w in encoded_readings(text)[0]], np.int32)
+            self.words.append(item)
+            if len(item):
+                gram, window = fingerprint_shape(len(item))
+                at = np.arange(len(item) - gram + 1)
+                prints = gram_hashes(item, at, gram)
+                keep = winnow(at, prints, window)
+                held = shapes.setdefault((gram, window), ([], [], []))
+                held[0].append(prints[keep]), held[1].append(np.full(len(keep), k)), held[2].append(keep)
+        # one after another with −1 behind each, which equals no word
+        self.flat = np.concatenate([np.append(w, -1) for w in self.words]) if self.words else np.zeros(0, np.int32)
+        self.first = np.cumsum([0] + [len(w) + 1 for w in self.words])[:-1]
+        self.least = np.array([least_hits(len(w)) if len(w) else 1 for w in self.words])
+        self.shapes = []
+        for (gram, window), parts in sorted(shapes.items()):
+            prints, item, at = map(np.concatenate, parts)
+            order = np.argsort(prints, kind="stable")
+            self.shapes.append((gram, window, prints[order], item[order], at[order]))
+
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, its position, the stream's position) wherever a fingerprint of the word stream is one of an item."""
+        out = []
+        for gram, window, prints, item, at in self.shapes:
+            where = runs(codes, gram)
+            seen = gram_hashes(codes, where, gram)
+            keep = winnow(where, seen, window)
+            where, seen = where[keep], seen[keep]
+            lo, hi = np.searchsorted(prints, seen, "left"), np.searchsorted(prints, seen, "right")
+            n = hi - lo
+            row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out.append((item[row], at[row], np.repeat(where, n)))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+    def leaked(self, streams: list[tuple[int, list[int]]]) -> set[tuple[int, int]]:
+        """(document, item) for word streams, each with its document's id, that hold SPAN words of an item in a row or nearly the whole."""
+        found: set[tuple[int, int]] = set()
+        lengths = np.array([len(s) for _, s in streams])
+        ends = np.cumsum(lengths + 1)
+        codes = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+        starts = ends - lengths - 1
+        inside = np.ones(len(codes), bool)
+        inside[ends - 1] = False
+        codes[inside] = np.fromiter(itertools.chain.from_iterable(s for _, s in streams), np.int32, int(lengths.sum()))
+        item, at, where = self.hits(codes)
+        if not len(item):
+            return found
+        stream = np.searchsorted(starts, where, "right") - 1
+        order = np.lexsort((where, item, stream))
+        item, at, where, stream = item[order], at[order], where[order], stream[order]
+        runs_met = run_lengths(self.flat, codes, self.first[item] + at, where)
+        pair = np.flatnonzero(np.append(True, (np.diff(stream) != 0) | (np.diff(item) != 0)))
+        spans = np.maximum.reduceat(runs_met, pair) >= SPAN
+        hits = np.diff(np.append(pair, len(item)))
+        for p in np.flatnonzero(spans | (hits >= self.least[item[pair]])):
+            one = slice(pair[p], pair[p] + hits[p])
+            s, k = stream[pair[p]], item[pair[p]]
+            key = (streams[s][0], self.ids[k])
+            if key in found:
+                continue
             # an item can be held whole only if the document has all its words but ``most``
-            whole = len(item) - np.isin(item, held).sum() <= most
-            if longest_run(item, doc, pairs) >= SPAN or (whole and holds_whole(item, doc, pairs, most)):
-                found.append(self.ids[k])
+            doc, words_of, most = codes[starts[s] : ends[s] - 1], self.words[k], len(self.words[k]) // ONE_IN
+            if spans[p] or (len(words_of) - np.isin(words_of, doc).sum() <= most and holds_whole(words_of, doc, where[one] - starts[s] - at[one], most)):
+                found.add(key)
         return found
 
 
 def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """(doc_id, item_id): the document holds at least 12 consecutive words of the item, or the item with at most one word in seven changed.
 
-    Items are handled in blocks of bounded size whose fingerprints are broadcast; the corpus's fingerprints meet them
-    where the documents are and are never moved. Documents are read whole. NULL and empty texts and NULL ids leak
-    nothing; items of fewer than five words have no fingerprint and are never reported.
+    An item's fingerprints are as long as the run of words that any permitted change leaves whole, 5 at most, so items
+    of every length are found, single words included. Items are handled in blocks of bounded size whose fingerprints are
+    broadcast; the corpus's fingerprints meet them where the documents are and are never moved. Documents are read
+    whole. NULL and empty texts, texts without words and NULL ids leak nothing; repeated items and rows come out once.
     """
     spark = documents.sparkSession
     block = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).distinct()
@@ -242,13 +298,22 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     out = None
     for b in range(max(1, blocks)):
         held = (block if blocks <= 1 else block.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)).toPandas()
-        shared = spark.sparkContext.broadcast(Items(held["item_id"].tolist(), held["text"].tolist()).parts())
+        shared = spark.sparkContext.broadcast(Items(held["item_id"].tolist(), held["text"].tolist()))
 
         def run(batches, shared=shared):
-            known, hasher = Items.of(shared.value), Hasher()
+            known = shared.value
+            number, other = known.number.get, itertools.repeat(0)
             for pdf in batches:
-                rows = [(d, i) for d, t in zip(pdf["doc_id"], pdf["text"]) for i in {i for tokens in readings(t) for i in known.leaked(hasher(tokens))}]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
+                rows, streams, size = set(), [], 0
+                for d, t in zip(pdf["doc_id"], pdf["text"]):
+                    for tokens in encoded_readings(t):
+                        streams.append((d, list(map(number, tokens, other))))
+                        size += len(tokens)
+                    if size > FLUSH_WORDS:
+                        rows |= known.leaked(streams)
+                        streams, size = [], 0
+                rows |= known.leaked(streams)
+                yield pd.DataFrame(sorted(rows), columns=["doc_id", "item_id"])
 
         part = docs.mapInPandas(run, "doc_id long, item_id long")
         out = part if out is None else out.unionAll(part)

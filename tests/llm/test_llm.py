@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from morphoquarry.llm.clusters import cut_tree, similarity_clusters, ward
-from morphoquarry.llm.leakage import BLOCK_ITEMS, gram_hashes, leaks, readings, winnow, words  # noqa: F401
+from morphoquarry.llm.leakage import Items, fingerprint_shape, gram_hashes, leaks, least_run, readings, runs, winnow, words
 from morphoquarry.llm import leakage
 from morphoquarry.llm.packing import measured, packed, plan
 from morphoquarry.llm.percentiles import merged, quantiles, sketches
@@ -199,7 +199,7 @@ def test_leaks_brute(spark):
         docs.append(body[:at] + piece + body[at:])
     want = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if brute(doc, item)}
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)] + [(900, None), (901, ""), (None, " ".join(items[0])), (0, " ".join(docs[0]))], "doc long, text string").withColumn("item_id", F.lit("clash"))
-    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(50, None), (51, ""), (52, "two words"), (0, " ".join(items[0]))], "item long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(50, None), (51, ""), (52, "two words"), (53, "..."), (0, " ".join(items[0]))], "item long, text string")
     got = {tuple(r) for r in leaks(df, "doc", "text", bench, "item", "text").collect()}
     assert got == want and len(want) > 30
     assert leaks(df.limit(0), "doc", "text", bench, "item", "text").count() == 0 and leaks(df, "doc", "text", bench.limit(0), "item", "text").count() == 0
@@ -214,14 +214,45 @@ def test_leaks_in_blocks(spark, monkeypatch):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(0, 10**6), st.integers(6, 12))
-def test_winnowing_meets_every_shared_run(seed, n):
-    rng = random.Random(seed)
-    h = leakage.Hasher()
-    shared = text_of(rng, n)
-    a, b = (h(text_of(rng, rng.randrange(20)) + shared + text_of(rng, rng.randrange(20))) for _ in range(2))
-    ga, gb = gram_hashes(a), gram_hashes(b)
-    assert set(ga[winnow(ga)].tolist()) & set(gb[winnow(gb)].tolist())
+@given(st.integers(0, 10**6), st.integers(1, 12), st.integers(1, 4), st.integers(0, 5))
+def test_winnowing_meets_every_shared_run(seed, gram, window, more):
+    rng = np.random.default_rng(seed)
+    shared = rng.integers(1, 50, gram + window - 1 + more)
+    prints = []
+    for _ in range(2):
+        codes = np.concatenate([rng.integers(0, 50, rng.integers(0, 20)), shared, rng.integers(0, 50, rng.integers(0, 20))])
+        at = runs(codes, gram)
+        h = gram_hashes(codes, at, gram)
+        prints.append(set(h[winnow(at, h, window)].tolist()))
+    assert prints[0] & prints[1]
+
+
+@pytest.mark.parametrize("n", range(1, 61))
+def test_items_of_every_length_with_changes_are_found(n):
+    rng = random.Random(n)
+    assert sum(fingerprint_shape(n)) - 1 <= least_run(n)
+    for trial in range(30):
+        item, changes = text_of(rng, n), n // 7
+        copy = list(item)
+        places = [round((k + 1) * n / (changes + 1)) for k in range(changes)] if trial % 2 else sorted(rng.sample(range(n), changes))
+        for at in reversed(places):
+            what = trial // 2 % 4 if trial < 16 else rng.randrange(3)
+            at = min(at, len(copy) - 1)
+            copy[at : at + 1] = [] if what == 1 else ["new", copy[at]] if what == 2 else ["new"]
+        doc = text_of(rng, rng.randrange(30)) + copy + text_of(rng, rng.randrange(30))
+        known = Items([5], [" ".join(item)])
+        got = known.leaked([(1, [known.number.get(w.encode(), 0) for w in doc])])
+        assert got == {(1, 5)}, (n, places)
+
+
+def test_short_items_against_brute():
+    rng = random.Random(6)
+    few = VOCABULARY[:25]
+    items = [[rng.choice(few) for _ in range(rng.randrange(1, 40))] for _ in range(40)]
+    docs = [[rng.choice(few) for _ in range(rng.randrange(0, 40))] + rng.choice(items)[rng.randrange(5) :] for _ in range(150)]
+    known = Items(list(range(40)), [" ".join(i) for i in items])
+    got = known.leaked([(d, [known.number.get(w.encode(), 0) for w in doc]) for d, doc in enumerate(docs)])
+    assert got == {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if brute(doc, item)}
 
 
 FORMS = [
