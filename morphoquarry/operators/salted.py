@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows of the sample that names heavy keys; the result doesn't depend on it.
 SAMPLE_ROWS = 50_000
+#: Seed of the salts.
+SEED = 23
 
 
 @dataclass(frozen=True)
@@ -60,13 +62,17 @@ def heavy_keys(df: DataFrame, key: str, rows: int, share: float) -> list:
 
 
 def partials(df: DataFrame, key: str, measures: list[Measure], rows: int | None = None, salts: int = 32, share: float = 0.005) -> DataFrame:
-    """First stage: one row per key, or per key and salt of a heavy key. The salt is random: a hash of the row's values."""
+    """First stage: one row per key, or per key and salt of a heavy key.
+
+    The salt is drawn for each row, so rows that agree in all columns are spread too. A task that runs again reads the
+    same rows in the same order and draws the same salts.
+    """
     rows = df.count() if rows is None else rows
     heavy = heavy_keys(df, key, rows, share)
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)).cast("int")
+    spread = F.floor(F.rand(SEED) * salts).cast("int")
     salt = F.when(F.col(key).isin(heavy), spread).otherwise(0) if heavy else F.lit(0)
     parts = [c for m in measures for c in m.partial()]
-    return df.groupBy(F.col(key).alias("_mq_key"), salt.alias("_mq_salt")).agg(F.count(F.lit(1)).alias("_mq_rows"), *parts).withColumnRenamed("_mq_key", key)
+    return df.withColumn("_mq_salt", salt).groupBy(F.col(key).alias("_mq_key"), "_mq_salt").agg(F.count(F.lit(1)).alias("_mq_rows"), *parts).withColumnRenamed("_mq_key", key)
 
 
 def merge(parts: DataFrame, keys: list[str], measures: list[Measure], rows_name: str = "n_rows") -> DataFrame:

@@ -14,7 +14,7 @@ from morphoquarry.operators.flatten import apply_schema, tagged, write_tables
 from morphoquarry.operators.hierarchy import closure, hierarchy
 from morphoquarry.operators.kdsplit import fit, local_pairs
 from morphoquarry.operators.proximity import containing_polygons, near_pairs
-from morphoquarry.operators.salted import Measure, salted_aggregate
+from morphoquarry.operators.salted import Measure, merge, partials, salted_aggregate
 from morphoquarry.operators.unify import CommonUnits
 from morphoquarry.plans.p5 import TREE
 
@@ -137,6 +137,16 @@ def test_salted(spark):
     assert None not in got and salted_aggregate(df.limit(0), "key", measures).count() == 0
 
 
+def test_heavy_keys_get_many_salts_even_without_other_columns(spark):
+    rows = [("hot",)] * 4000 + [("warm",)] * 900 + [(f"k{i}",) for i in range(900)]
+    df = spark.createDataFrame(rows, "key string").repartition(3)
+    parts = partials(df, "key", [], salts=16, share=0.05)
+    salts = {r.key: r["n"] for r in parts.groupBy("key").agg(F.count_distinct("_mq_salt").alias("n")).collect()}
+    assert salts["hot"] == salts["warm"] == 16 and salts["k5"] == 1
+    assert max(r["_mq_rows"] for r in parts.collect()) < 1000
+    assert {r.key: r.n_rows for r in merge(parts, ["key"], []).collect()} == {"hot": 4000, "warm": 900} | {f"k{i}": 1 for i in range(900)}
+
+
 def forest(seed, n):
     rng = random.Random(seed)
     return [(i, rng.choice([None, rng.randrange(n), rng.randrange(max(1, i)), 10_000]), f"n{i}") for i in range(n)]
