@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from morphoquarry.session import Cut
 from morphoquarry.sources.tables import table
 
-#: Most leaf entries of a tree; a full tree is rebuilt with a larger radius.
-LEAVES = 400
+#: Leaf entries of a tree; a full tree is rebuilt with a larger radius, unless its entries are groups of their own already
+#: (half of them of several records, nine in ten further than APART radii from the next): then the tree may grow to twice as many.
+LEAVES, APART = 400, 3
 #: Radius of a leaf entry to begin with, in standard deviations.
 RADIUS = 0.05
 #: Trees merged at a time in the reduction.
 FAN_IN = 16
-#: Most groups whose leaves (at most LEAVES each) and statistics are broadcast; more are joined by group, large groups in parts of PART_ROWS.
+#: Most groups whose leaves and statistics are broadcast; more are joined by group, large groups in parts of PART_ROWS.
 BROADCAST_GROUPS = 500
 PART_ROWS = 100_000
 NUM_COLS = ("intensity_mean", "area", "eccentricity", "intensity_std")
@@ -43,6 +44,9 @@ class FeatureTree:
             while len(rest):
                 rest = rest[self._block(count[rest], total[rest], square[rest])]
                 while len(self.count) > self.limit:
+                    if self._parted():
+                        self.limit *= 2
+                        continue
                     old = (self.count, self.total, self.square)
                     self.radius *= 1.5
                     self._clear()
@@ -50,6 +54,14 @@ class FeatureTree:
                     while len(left):
                         left = left[self._block(*[x[left] for x in old])]
 
+    def _parted(self) -> bool:
+        centres = self.total / self.count[:, None]
+        many = self.count >= 2
+        if many.mean() < 0.5:
+            return False
+        near = np.array([np.partition(((centres - c) ** 2).sum(1), 1)[1] for c in centres])
+        return bool((near > (APART * self.radius) ** 2).mean() >= 0.9)
+
     def _block(self, count: np.ndarray, total: np.ndarray, square: np.ndarray) -> np.ndarray:
         """Takes in a block; returns the rows left out because they would found more entries than a tree may hold for a while."""
         points = total / count[:, None]
@@ -129,36 +141,61 @@ def ward(count: np.ndarray, centre: np.ndarray) -> list[tuple[int, int, float]]:
     return merges
 
 
-def cut_tree(count: np.ndarray, centre: np.ndarray, most: int = 60, clusters: int | None = None) -> np.ndarray:
+def cut_tree(count: np.ndarray, centre: np.ndarray, extent: np.ndarray | None = None, clusters: int | None = None) -> np.ndarray:
     """A cluster number for each leaf entry.
 
     Without a number of clusters, the cut is the one whose clusters lie furthest apart against their own extent (least
-    distance between entries of two clusters over largest distance within one); if none of 2 to ``most`` clusters lies
-    further apart than it extends, all entries are one cluster.
+    distance between entries of two clusters over largest distance within one, an entry's own ``extent`` included); every
+    number of clusters from 2 to that of the entries is weighed, the latter only if half of the entries hold several
+    records. If none lies further apart than it extends, all entries are one cluster. Ties go to fewer clusters.
     """
     n = len(count)
     if n == 1:
         return np.zeros(1, np.int64)
     merges = ward(count, centre)
     order = sorted(range(len(merges)), key=lambda i: (merges[i][2], i))
+    if clusters:
+        return _labels(n, merges, order[: n - min(clusters, n)])
     gaps = np.sqrt(np.maximum(((centre[:, None] - centre[None]) ** 2).sum(2), 0))
-    members = {i: [i] for i in range(n)}
-    best, best_score = np.zeros(n, np.int64), 1.0
-    for i in [-1, *order]:
-        if i >= 0:
-            members[n + i] = members.pop(merges[i][0]) + members.pop(merges[i][1])
-        k = len(members)
-        if k == min(clusters, n) if clusters else 2 <= k <= min(most, n - 1):
-            label = np.empty(n, np.int64)
-            for c, rows in enumerate(members.values()):
-                label[rows] = c
-            if clusters:
-                return label
-            same = label[:, None] == label[None]
-            score = gaps[~same].min() / max(gaps[same].max(), 1e-9)
-            if score >= best_score and score > 1:
-                best, best_score = label, score
-    return best
+    np.fill_diagonal(gaps, np.inf)
+    # of clusters alive: least gap to every other cluster, and extent; a merged cluster takes the row of one of its parts
+    wide = np.zeros(n) if extent is None else extent.astype(float).copy()
+    least, row = gaps.copy(), {i: i for i in range(n)}
+    members = {i: np.array([i]) for i in range(n)}
+    best, best_score, alive = n, 1.0, n
+    low = least.min(1)
+    inner = np.where(np.isinf(gaps), 0.0, gaps)
+    for step in range(len(order)):
+        if step or (count > 1).mean() >= 0.5:
+            score = low.min() / max(wide.max(), 1e-9)
+            if score > 1 and score >= best_score:
+                best, best_score = step, score
+        i = order[step]
+        a, b = merges[i][:2]
+        x, y = row.pop(a), row.pop(b)
+        wide[x] = max(wide[x], wide[y], inner[np.ix_(members[x], members[y])].max())
+        members[x] = np.concatenate([members[x], members.pop(y)])
+        joined = np.minimum(least[x], least[y])
+        joined[[x, y]] = np.inf
+        least[x], least[:, x] = joined, joined
+        least[y], least[:, y] = np.inf, np.inf
+        # whoever was nearest to y is now as near to x, so only the rows' least values of x and y change
+        low[x], low[y], wide[y] = joined.min(), np.inf, 0.0
+        row[n + i] = x
+        alive -= 1
+    return np.zeros(n, np.int64) if best_score <= 1 else _labels(n, merges, order[:best])
+
+
+def _labels(n: int, merges: list[tuple[int, int, float]], done: list[int]) -> np.ndarray:
+    """Cluster numbers after the named merges, in the order of their first entries."""
+    parent = np.arange(2 * n - 1)
+    for i in done:
+        parent[list(merges[i][:2])] = n + i
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    first = np.unique(parent[:n], return_index=True)[1]
+    place = {int(parent[at]): k for k, at in enumerate(np.sort(first))}
+    return np.array([place[int(p)] for p in parent[:n]])
 
 
 def feature_leaves(df: DataFrame, group: str, dims: int, cut: Cut) -> DataFrame:
@@ -215,8 +252,12 @@ def similarity_clusters(df: DataFrame, id_col: str, group: str, num_cols: tuple[
 
     def agglomerate(pdf: pd.DataFrame) -> pd.DataFrame:
         count, total = pdf["count"].to_numpy(float), np.vstack(pdf["total"].to_numpy())
-        label = cut_tree(count, total / count[:, None], clusters=clusters)
-        return pd.DataFrame({"g": pdf["g"], "centre": list(total / count[:, None]), "count": count, "cluster": label})
+        centre = total / count[:, None]
+        order = np.lexsort(centre.T[::-1])  # so that clusters are numbered alike whatever order the leaves come in
+        pdf, count, centre = pdf.iloc[order], count[order], centre[order]
+        extent = 2 * np.sqrt(np.maximum(pdf["square"].to_numpy(float) / count - (centre**2).sum(1), 0))
+        label = cut_tree(count, centre, extent, clusters)
+        return pd.DataFrame({"g": pdf["g"].to_numpy(), "centre": list(centre), "count": count, "cluster": label})
 
     named = cut.table(leaves.groupBy("g").applyInPandas(agglomerate, f"g {kind}, centre array<double>, count double, cluster int"))
     groups = [r[0] for r in named.select("g").distinct().sort("g").collect()] if few else None

@@ -107,6 +107,35 @@ def test_ward_and_cut():
     assert len(set(cut_tree(np.ones(4), np.array([[0.0], [1.0], [2.0], [3.0]])))) == 1
 
 
+@pytest.mark.parametrize("k", [2, 61, 150, 300, 700])
+def test_many_clusters_are_all_told(k):
+    from morphoquarry.llm.clusters import FeatureTree
+
+    rng = np.random.default_rng(k)
+    side = math.ceil(math.sqrt(k))
+    centres = np.array([(i % side, i // side) for i in range(k)], float)
+    x = np.repeat(centres, 40, axis=0) + rng.uniform(-0.06, 0.06, (40 * k, 2))
+    truth, order = np.repeat(np.arange(k), 40), rng.permutation(40 * k)
+    parts = []
+    for part in np.array_split(order, 5):
+        tree = FeatureTree(2)
+        tree.insert(np.ones(len(part)), x[part], (x[part] ** 2).sum(1))
+        parts.append(tree)
+    one = FeatureTree(2, max(t.radius for t in parts))
+    one.insert(*[np.concatenate([getattr(t, c) for t in parts]) for c in ("count", "total", "square")])
+    centre = one.total / one.count[:, None]
+    label = cut_tree(one.count, centre, 2 * np.sqrt(np.maximum(one.square / one.count - (centre**2).sum(1), 0)))
+    assert len(set(label)) == k
+    found = label[((x[:, None, :] - centre[None]) ** 2).sum(2).argmin(1)]
+    assert len(set(zip(found.tolist(), truth.tolist()))) == k
+
+
+def test_clusters_tighter_than_a_leaf_and_records_alone():
+    tight, several = np.array([[0.0], [1.0], [2.0], [3.0]]), np.full(4, 5.0)
+    assert len(set(cut_tree(several, tight, np.full(4, 0.01)))) == 4
+    assert len(set(cut_tree(np.ones(4), tight, np.zeros(4)))) == 1
+
+
 # packing
 
 
