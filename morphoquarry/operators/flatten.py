@@ -98,9 +98,10 @@ def _visit(record: int, value, node: Node, parent: str, out: list) -> None:
 def tagged(df: DataFrame, record_col: str, json_col: str, tree: tuple[Node, ...]) -> DataFrame:
     """Rows (tag, record, pk, parent, pos, at_key, payload) of all elements, in one visit per record.
 
-    A record that is NULL or no valid JSON object gives none, and neither do rows with a NULL id; a record logged more
-    than once (same id, same text) comes out once. ``pk`` spells the way from the record, so a child's ``parent`` is its
-    parent's ``pk``.
+    A record that is NULL or no valid JSON object gives none, and neither do rows with a NULL id. A record logged more
+    than once comes out once; where its texts differ, an element of more than one takes the values first in order.
+    ``pk`` spells the way from the record, so a child's ``parent`` is its parent's ``pk``. Only elements are shuffled,
+    never whole texts: repeats are told apart once they are flat.
     """
 
     def run(batches):
@@ -113,8 +114,8 @@ def tagged(df: DataFrame, record_col: str, json_col: str, tree: tuple[Node, ...]
                         _visit(int(record), value, node, str(int(record)), out)
             yield pd.DataFrame(out, columns=["tag", "record", "pk", "parent", "pos", "at_key", "payload"])
 
-    rows = df.select(F.col(record_col).cast("long").alias("r"), F.col(json_col).alias("j")).where("r IS NOT NULL AND j IS NOT NULL").dropDuplicates()
-    return rows.mapInPandas(run, TAGGED).dropDuplicates(["record", "pk"])
+    rows = df.select(F.col(record_col).cast("long").alias("r"), F.col(json_col).alias("j")).where("r IS NOT NULL AND j IS NOT NULL")
+    return rows.mapInPandas(run, TAGGED).groupBy("record", "pk").agg(F.min(F.struct("tag", "parent", "pos", "at_key", "payload")).alias("e")).select("e.tag", "record", "pk", "e.parent", "e.pos", "e.at_key", "e.payload")
 
 
 def apply_schema(rows: DataFrame, tag: str, schema: str) -> DataFrame:
@@ -125,3 +126,10 @@ def apply_schema(rows: DataFrame, tag: str, schema: str) -> DataFrame:
 def write_tables(rows: DataFrame, path: str) -> None:
     """One folder per tag, so that each table can be read alone."""
     rows.write.mode("overwrite").partitionBy("tag").parquet(path)
+
+
+def flat_tables(rows: DataFrame, schemas: dict[str, str], path: str) -> dict[str, DataFrame]:
+    """The flat tables of all tags: written by tag to ``path`` in one visit, each read back alone with its schema. A tag without rows gives an empty table."""
+    write_tables(rows, path)
+    back = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return {tag: apply_schema(back, tag, schema) for tag, schema in schemas.items()}

@@ -54,22 +54,38 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_KEPT: set[str] = set()
+
+
 class Cut:
     """Writes tables to the shared folder and reads them back, so that lineage ends there and a lost executor costs no recomputation.
 
-    ``Cut(spark).table(df)`` returns the table as read; ``drop(df)`` removes one that no later step reads.
+    ``Cut(spark).table(df)`` returns the table as read; ``drop(df)`` removes one that no later step reads. All others
+    are removed when the application's driver ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self._paths = spark, {}
 
     def table(self, df: DataFrame) -> DataFrame:
-        path = f"{work_dir(self.spark)}/mq-{uuid.uuid4().hex}"
+        path = self.path()
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(back)] = (back, path)
         return back
 
+    def path(self) -> str:
+        """A fresh path in the application's own part of the shared folder."""
+        own = f"{work_dir(self.spark)}/mq-{self.spark.sparkContext.applicationId}"
+        if own not in _KEPT:
+            _KEPT.add(own)
+            jvm = self.spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(own)
+            files = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            files.mkdirs(target)
+            files.deleteOnExit(target)
+        return f"{own}/{uuid.uuid4().hex}"
+
     def drop(self, df: DataFrame) -> None:
         entry = self._paths.pop(id(df), None)
         if entry:
