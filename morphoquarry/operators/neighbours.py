@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from morphoquarry.operators.kdsplit import fit_on, group_rank, routed
 from morphoquarry.operators.proximity import AXES, SWEEP_ROWS, _finite, _keyed, near_pairs, polygon_edges
+from morphoquarry.session import Cut
 
 #: Rows of a cell in which every query is held against every row of its group.
 KNN_CELL = 2_000
@@ -180,3 +181,22 @@ def outline_distances(points: DataFrame, id_col: str, x: Column, y: Column, poin
         return pd.concat(out).groupby(["id", "poly"], as_index=False)["distance"].min()
 
     return at.groupBy("cell").cogroup(cut.groupBy("cell")).applyInPandas(measure, "id long, poly long, distance double")
+
+
+def nearest_outlines(points: DataFrame, id_col: str, x: Column, y: Column, key: str, polygons: DataFrame, poly_id: str, ring: str, holes: str, cut: Cut, first: float = 25.0) -> DataFrame:
+    """(id, poly, distance): outlines of polygons with the point's key that come nearest, at least the nearest of each point, however far it is.
+
+    Points without one within ``first`` are looked at again with four times the radius. Points whose key has no polygon
+    with an outline, or whose coordinates are NULL, NaN or infinite, have no row.
+    """
+    drawn = F.exists(F.concat(F.array(ring), F.coalesce(holes, F.array())), lambda r: F.size(F.filter(r, lambda p: p.isNotNull() & _finite(p["x"]) & _finite(p["y"]))) > 2)
+    has = polygons.where(drawn & F.col(poly_id).isNotNull()).select(key).distinct()
+    left = cut.table(points.where(F.col(id_col).isNotNull() & _finite(x) & _finite(y)).join(has, key, "left_semi").select(F.col(id_col).alias("_id"), F.col(key), x.alias("_x"), y.alias("_y")))
+    radius, out = first, None
+    while True:
+        found = cut.table(outline_distances(left, "_id", F.col("_x"), F.col("_y"), [F.col(key)], polygons, poly_id, ring, holes, [F.col(key)], radius))
+        out = found if out is None else out.unionAll(found)
+        left = cut.table(left.join(found.select(F.col("id").alias("_id")), "_id", "left_anti"))
+        if not left.limit(1).count():
+            return out
+        radius *= 4

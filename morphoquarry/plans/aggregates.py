@@ -24,7 +24,7 @@ class Grid(NamedTuple):
     holes: bool
 
 
-#: The grid of the queries held against SQL: every eighth row and column, holes filled. plans/pixels.py has every pixel.
+#: A coarse grid of places for set operations on labels: every eighth row and column, holes filled. plans/pixels.py has every pixel.
 COARSE = Grid(PITCH, False)
 
 
@@ -197,41 +197,19 @@ def intensity_moments(spark: SparkSession, d: str) -> DataFrame:
     return objects(spark, d).groupBy("colocal_id").agg(F.round(F.skewness("intensity_mean"), 6).alias("skewness"), F.round(F.kurtosis("intensity_mean"), 6).alias("kurtosis"))
 
 
-@query("SELECT ex_i, poly_id, y, x FROM {VOX}")
 def rasterise(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
     return voxels(spark, d, grid).select("ex_i", "poly_id", "y", "x")
 
 
-@query("""SELECT ex_i, poly_id, count(*) AS area, round(avg(y), 6) AS cy, round(avg(x), 6) AS cx, CAST(min(y) AS BIGINT) AS y0, CAST(min(x) AS BIGINT) AS x0, CAST(max(y) + 1 AS BIGINT) AS y1, CAST(max(x) + 1 AS BIGINT) AS x1, round(avg(y + x), 6) AS intensity_mean,
-round(4 * sqrt((var_pop(y) + var_pop(x) + 1.0 / 6) / 2 + sqrt(pow(var_pop(y) - var_pop(x), 2) / 4 + pow(covar_pop(y, x), 2))), 5) AS axis_major_length FROM {VOX} GROUP BY ex_i, poly_id""")
-def region_properties(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
-    rows = voxels(spark, d, grid).withColumn("v", F.col("y") + F.col("x"))
-    p = a.region_properties(rows, ["ex_i", "poly_id"], ["y", "x"], "v")
-    c, b = F.col("centroid"), F.col("bbox")
-    return p.select("ex_i", "poly_id", "area", F.round(c[0], 6).alias("cy"), F.round(c[1], 6).alias("cx"), b[0].alias("y0"), b[1].alias("x0"), b[2].alias("y1"), b[3].alias("x1"), F.round("intensity_mean", 6).alias("intensity_mean"), F.round("axis_major_length", 5).alias("axis_major_length"))
-
-
-@query("""WITH v AS (SELECT DISTINCT ex_i, poly_id % 2 AS c, poly_id, y, x FROM {VOX}), s AS (SELECT a.ex_i, a.poly_id AS left_id, b.poly_id AS right_id, count(*) AS shared FROM v a JOIN v b ON a.ex_i = b.ex_i AND a.y = b.y AND a.x = b.x AND a.c = 0 AND b.c = 1 GROUP BY ALL),
-n AS (SELECT ex_i, poly_id, count(*) AS n FROM v GROUP BY ALL)
-SELECT s.ex_i, left_id, right_id, shared, round(shared / (p.n + q.n - shared), 9) AS iou FROM (SELECT *, row_number() OVER (PARTITION BY ex_i, left_id ORDER BY shared DESC, right_id) AS k FROM s) s JOIN n p ON p.ex_i = s.ex_i AND p.poly_id = left_id JOIN n q ON q.ex_i = s.ex_i AND q.poly_id = right_id WHERE k = 1""")
-def max_overlap_assign(spark: SparkSession, d: str) -> DataFrame:
-    v = voxels(spark, d)
-    left, right = (v.where(F.col("poly_id") % 2 == k).select("ex_i", "y", "x", F.col("poly_id").alias(n)) for k, n in ((0, "left_id"), (1, "right_id")))
-    return a.best_overlaps(left, right, ["ex_i", "y", "x"], "left_id", "right_id").withColumn("iou", F.round("iou", 9))
-
-
-@query("""WITH p AS (SELECT ex_i, y, x, max(label) AS v FROM {VOX} GROUP BY ALL) SELECT ex_i, x, max(v) AS v FROM p GROUP BY ALL""")
 def axis_max_projection(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
     return voxels(spark, d, grid).groupBy("ex_i", "x").agg(F.max("label").alias("v"))
 
 
-@query("SELECT ex_i, label, CAST(min(y) AS BIGINT) AS y_min, CAST(max(y) AS BIGINT) AS y_max, CAST(min(x) AS BIGINT) AS x_min, CAST(max(x) AS BIGINT) AS x_max FROM {VOX} GROUP BY ALL")
 def label_extent(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
     ends = [f(c).cast("long").alias(f"{c}_{n}") for c in ("y", "x") for n, f in (("min", F.min), ("max", F.max))]
     return voxels(spark, d, grid).groupBy("ex_i", "label").agg(*ends)
 
 
-@query("""WITH p AS (SELECT ex_i, CAST(floor(y / 64) AS BIGINT) AS ty, CAST(floor(x / 64) AS BIGINT) AS tx, count(*) AS n FROM {VOX} GROUP BY ALL) SELECT ex_i, ty, tx, n FROM (SELECT *, row_number() OVER (PARTITION BY ex_i ORDER BY n DESC, ty, tx) AS k FROM p) WHERE k = 1""")
 def densest_tile(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
     tiles = voxels(spark, d, grid).groupBy("ex_i", F.floor(F.col("y") / 64).alias("ty"), F.floor(F.col("x") / 64).alias("tx")).agg(F.count(F.lit(1)).alias("n"))
     return top_per_key(tiles, ["ex_i"], [F.col("n").desc(), F.col("ty"), F.col("tx")])

@@ -9,6 +9,7 @@ from morphoquarry.operators import geometry as g
 from morphoquarry.operators import neighbours as n
 from morphoquarry.operators.proximity import containing_polygons, near_pairs
 from morphoquarry.plans.aggregates import COARSE, PITCH, POLY_SQL, VOXELS_SQL, Grid, polygons, voxels
+from morphoquarry.session import Cut
 from morphoquarry.sources.tables import OBJECTS_SQL, objects, table
 
 QUERIES, SQL = {}, {}
@@ -110,15 +111,15 @@ def deepest_region_pip(spark: SparkSession, d: str) -> DataFrame:
 t AS (SELECT p.obj_id, e.poly_id, p.x, p.y, e.a.x AS ax, e.a.y AS ay, e.b.x - e.a.x AS dx, e.b.y - e.a.y AS dy FROM {PTS} p JOIN e USING (ex_i)),
 s AS (SELECT *, CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) END AS u FROM t),
 o AS (SELECT obj_id, poly_id, min(sqrt(pow(x - ax - u * dx, 2) + pow(y - ay - u * dy, 2))) AS d FROM s GROUP BY ALL),
-b AS (SELECT obj_id, poly_id, d FROM o WHERE d <= 25 UNION ALL SELECT obj_id, poly_id, 0 FROM {INSIDE})
+b AS (SELECT obj_id, poly_id, d FROM o UNION ALL SELECT obj_id, poly_id, 0 FROM {INSIDE})
 SELECT obj_id, poly_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY d, poly_id) AS k FROM b) WHERE k = 1""")
 def nearest_polygon(spark: SparkSession, d: str) -> DataFrame:
-    out = n.outline_distances(points(spark, d), "obj_id", F.col("x"), F.col("y"), [F.col("ex_i")], table(spark, d, "roi_polygons"), "poly_id", "ring", "holes", [F.col("ex_i")], 25.0)
+    """The polygon of its example nearest to each object, however far; 0 inside. Objects of examples without polygons have no row."""
+    out = n.nearest_outlines(points(spark, d), "obj_id", F.col("x"), F.col("y"), "ex_i", table(spark, d, "roi_polygons"), "poly_id", "ring", "holes", Cut(spark))
     every = out.unionAll(_inside(spark, d).select("id", "poly", F.lit(0.0).alias("distance")))
     return every.groupBy(F.col("id").alias("obj_id")).agg(F.min(F.struct("distance", "poly")).alias("s")).select("obj_id", F.col("s.poly").alias("poly_id"), F.round("s.distance", 6).alias("distance"))
 
 
-@query(f"""SELECT p.obj_id, coalesce(min(v.label), 0) AS roi FROM {{PTS}} p LEFT JOIN {{VOX}} v ON v.ex_i = p.ex_i AND v.y = round_even(p.y / {PITCH}, 0) * {PITCH} AND v.x = round_even(p.x / {PITCH}, 0) * {PITCH} GROUP BY p.obj_id""")
 def raster_lookup(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
     """Points meet the runs of their line, so that no place without a point is made. The merge join: Spark takes exploded rows for few."""
     at = points(spark, d).select("obj_id", "ex_i", F.rint(F.col("y") / grid.pitch).cast("long").alias("row"), F.rint(F.col("x") / grid.pitch).cast("long").alias("col"))
@@ -128,51 +129,6 @@ def raster_lookup(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame
     return met.groupBy("obj_id").agg(F.coalesce(F.min(F.when(here, F.col("label"))), F.lit(0)).alias("roi"))
 
 
-@query("""WITH v AS (SELECT ex_i, poly_id, y, x FROM {VOX}), a AS (SELECT ex_i, poly_id, avg(y) AS cy, avg(x) AS cx FROM v WHERE poly_id % 2 = 0 GROUP BY ALL),
-h AS (SELECT v.ex_i, v.poly_id, r.poly_id AS region, pow(v.y - cy, 2) + pow(v.x - cx, 2) AS d2 FROM v JOIN a USING (ex_i, poly_id) JOIN v r ON r.ex_i = v.ex_i AND r.y = v.y AND r.x = v.x AND r.poly_id % 2 = 1)
-SELECT ex_i, poly_id, region FROM (SELECT *, row_number() OVER (PARTITION BY ex_i, poly_id ORDER BY round(d2, 6), region) AS k FROM h) WHERE k = 1""")
-def coords_first_hit(spark: SparkSession, d: str) -> DataFrame:
-    v = voxels(spark, d).select("ex_i", "poly_id", "y", "x")
-    own = v.where("poly_id % 2 = 0")
-    centre = own.groupBy("ex_i", "poly_id").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"))
-    regions = v.where("poly_id % 2 = 1").withColumnRenamed("poly_id", "region")
-    hits = own.join(regions, ["ex_i", "y", "x"]).join(centre, ["ex_i", "poly_id"])
-    d2 = F.round((F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")) + (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")), 6)
-    return hits.groupBy("ex_i", "poly_id").agg(F.min_by("region", F.struct(d2, F.col("region"))).alias("region"))
-
-
-@query("""WITH v AS (SELECT DISTINCT ex_i, poly_id, poly_id % 3 AS c, y, x FROM {VOX}), n AS (SELECT ex_i, poly_id, count(*) AS n FROM v WHERE c = 0 GROUP BY ALL),
-s AS (SELECT b.ex_i, b.poly_id AS base, o.c, o.poly_id AS other, row_number() OVER (PARTITION BY b.ex_i, b.poly_id, o.c ORDER BY count(*) DESC, o.poly_id) AS k FROM v b JOIN v o ON o.ex_i = b.ex_i AND o.y = b.y AND o.x = b.x AND b.c = 0 AND o.c > 0 GROUP BY b.ex_i, b.poly_id, o.c, o.poly_id),
-w AS (SELECT p.ex_i, p.base, p.other AS ch1, q.other AS ch2 FROM s p JOIN s q ON q.ex_i = p.ex_i AND q.base = p.base AND p.c = 1 AND q.c = 2 AND p.k = 1 AND q.k = 1)
-SELECT w.ex_i, base, ch1, ch2, round(count(*) / any_value(n.n), 9) AS iou FROM w JOIN n ON n.ex_i = w.ex_i AND n.poly_id = base JOIN v a ON a.ex_i = w.ex_i AND a.poly_id = base JOIN v b ON b.ex_i = a.ex_i AND b.y = a.y AND b.x = a.x AND b.poly_id = ch1 JOIN v c ON c.ex_i = a.ex_i AND c.y = a.y AND c.x = a.x AND c.poly_id = ch2 GROUP BY w.ex_i, base, ch1, ch2""")
-def overlap_coloc_iou(spark: SparkSession, d: str) -> DataFrame:
-    """Base objects that overlap an object of each other channel: the one with most shared places, and the share of the base where all meet."""
-    v = voxels(spark, d).select("ex_i", "poly_id", "y", "x", (F.col("poly_id") % 3).alias("c"))
-    base = v.where("c = 0").select("ex_i", "y", "x", F.col("poly_id").alias("base"))
-    met = base.join(v.where("c > 0").select("ex_i", "y", "x", "c", F.col("poly_id").alias("other")), ["ex_i", "y", "x"])
-    counts = met.groupBy("ex_i", "base", "c", "other").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("ex_i", "base", "c").agg(F.min_by("other", F.struct(-F.col("n"), F.col("other"))).alias("other"))
-    chosen = best.groupBy("ex_i", "base").agg(F.max(F.when(F.col("c") == 1, F.col("other"))).alias("ch1"), F.max(F.when(F.col("c") == 2, F.col("other"))).alias("ch2")).dropna()
-    here = met.join(chosen, ["ex_i", "base"]).where("other = ch1 OR other = ch2").groupBy("ex_i", "base", "ch1", "ch2", "y", "x").agg(F.count_distinct("c").alias("k")).where("k = 2")
-    area = base.groupBy("ex_i", "base").agg(F.count(F.lit(1)).alias("area"))
-    shared = here.groupBy("ex_i", "base", "ch1", "ch2").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.join(area, ["ex_i", "base"]).select("ex_i", "base", "ch1", "ch2", F.round(F.col("shared") / F.col("area"), 9).alias("iou"))
-
-
-@query(f"""WITH v AS (SELECT ex_i, poly_id, y, x FROM {{VOX}}), o AS (SELECT dy * {PITCH} AS dy, dx * {PITCH} AS dx, sqrt(dy * dy + dx * dx) * {PITCH} AS d FROM range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE dy * dy + dx * dx <= 4),
-h AS (SELECT v.ex_i, v.poly_id, r.poly_id AS target, min(o.d) AS d FROM v, o, v r WHERE v.poly_id % 2 = 0 AND r.poly_id % 2 = 1 AND r.ex_i = v.ex_i AND r.y = v.y + o.dy AND r.x = v.x + o.dx GROUP BY ALL)
-SELECT ex_i, poly_id, target, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY ex_i, poly_id ORDER BY d, target) AS k FROM h) WHERE k = 1""")
-def min_distance_assign(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest object of the other kind by least distance between places, up to two grid steps; ties go to the smaller id."""
-    v = voxels(spark, d).select("ex_i", "poly_id", "y", "x")
-    steps = [(dy, dx) for dy in range(-2, 3) for dx in range(-2, 3) if dy * dy + dx * dx <= 4]
-    ball = F.array(*[F.struct(F.lit(dy * PITCH).alias("dy"), F.lit(dx * PITCH).alias("dx"), F.lit((dy * dy + dx * dx) ** 0.5 * PITCH).alias("d")) for dy, dx in steps])
-    near = v.where("poly_id % 2 = 0").select("ex_i", "poly_id", "y", "x", F.explode(ball).alias("o")).select("ex_i", "poly_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "o.d")
-    hits = near.join(v.where("poly_id % 2 = 1").withColumnRenamed("poly_id", "target"), ["ex_i", "y", "x"])
-    best = hits.groupBy("ex_i", "poly_id").agg(F.min(F.struct("d", "target")).alias("s"))
-    return best.select("ex_i", "poly_id", "s.target", F.round("s.d", 6).alias("distance"))
-
-
 @query()
 def clipped_area(spark: SparkSession, d: str) -> DataFrame:
     rows = polygons(spark, d).where(F.size("ring") > 2).select("poly_id", "ring")

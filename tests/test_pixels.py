@@ -46,7 +46,7 @@ MASKS = {r[0]: (r[1], mask(r[5], r[6])) for r in ROWS}
 def test_every_pixel_without_holes(spark, folder):
     got = [(r.poly_id, int(r.y), int(r.x)) for r in pixels.QUERIES["pixel_rasterise"](spark, folder).collect()]
     assert len(got) == len(set(got)) and set(got) == {(i, *p) for i, (_, m) in MASKS.items() for p in m}
-    areas = {r.poly_id: r.area for r in pixels.QUERIES["pixel_region_properties"](spark, folder).collect()}
+    areas = {r.poly_id: r.area for r in pixels.QUERIES["region_properties"](spark, folder).collect()}
     assert areas == {i: len(m) for i, (_, m) in MASKS.items() if m} and areas[4] == 3
 
 
@@ -86,11 +86,11 @@ def test_every_pair_is_compared(spark, tmp_path):
         best = {k: min((b for b in found if masks[b][2] == k), key=lambda b: (-len(common(a, b)), b)) for k in {masks[b][2] for b in found} - {c}}
         triple |= {(a, best[i], best[j]): round(len(common(a, best[i], best[j])) / len(m), 9) for i in best for j in best if i < j and common(a, best[i], best[j])}
         gaps = [(min((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 for p in m for q in masks[b][1]), b) for b in others(a)] if m else []
-        if gaps and min(gaps)[0] <= 256:
+        if gaps:
             near[a] = (min(gaps)[1], round(min(gaps)[0] ** 0.5, 6))
     run = lambda name: pixels.QUERIES[name](spark, str(tmp_path)).collect()
-    assert {r.left_id: (r.right_id, r.shared, r.iou) for r in run("pixel_max_overlap_assign")} == overlap
-    assert {r.poly_id: r.region for r in run("pixel_coords_first_hit")} == hit
-    assert {(r.base, r.ch1, r.ch2): r.iou for r in run("pixel_overlap_coloc_iou")} == triple
-    assert {r.poly_id: (r.target, r.distance) for r in run("pixel_min_distance_assign")} == near
+    assert {r.left_id: (r.right_id, r.shared, r.iou) for r in run("max_overlap_assign")} == overlap
+    assert {r.poly_id: r.region for r in run("coords_first_hit")} == hit
+    assert {(r.base, r.ch1, r.ch2): r.iou for r in run("overlap_coloc_iou")} == triple
+    assert {r.poly_id: (r.target, r.distance) for r in run("min_distance_assign")} == near
     assert triple and any(a % 2 == b % 2 for a, (b, *_) in overlap.items()) and any(0 < v for _, v in near.values())
