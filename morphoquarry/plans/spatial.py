@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from morphoquarry.operators import geometry as g
 from morphoquarry.operators import neighbours as n
 from morphoquarry.operators.proximity import containing_polygons, near_pairs
+from morphoquarry.operators.twostage import percentiles
 from morphoquarry.plans.aggregates import COARSE, PITCH, POLY_SQL, VOXELS_SQL, Grid, polygons, voxels
 from morphoquarry.session import Cut
 from morphoquarry.sources.tables import OBJECTS_SQL, objects, table
@@ -19,22 +20,28 @@ def query(sql: str | None = None):
     def add(fn):
         QUERIES[fn.__name__] = fn
         if sql:
-            SQL[fn.__name__] = sql.replace("{OBJ}", OBJECTS_SQL).replace("{POLY}", POLY_SQL).replace("{VOX}", VOXELS_SQL).replace("{EMB}", EMB_SQL).replace("{PTS}", POINTS_SQL).replace("{INSIDE}", INSIDE_SQL)
+            SQL[fn.__name__] = sql.replace("{OBJ}", OBJECTS_SQL).replace("{POLY}", POLY_SQL).replace("{VOX}", VOXELS_SQL).replace("{NBR}", NEIGHBOUR_SQL).replace("{PTS}", POINTS_SQL).replace("{INSIDE}", INSIDE_SQL)
         return fn
 
     return add
 
 
-EMB_SQL = "(SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[4] AS DOUBLE) AS f FROM embeddings)"
 POINTS_SQL = """(SELECT obj_id, ex_i, colocal_id, dend_id, intensity_mean, centroid[len(centroid)] AS x, centroid[len(centroid) - 1] AS y FROM {OBJ} WHERE centroid_unit = 'px' AND centroid IS NOT NULL AND len(list_filter(centroid, lambda v: v IS NULL OR isnan(v))) = 0)""".replace("{OBJ}", OBJECTS_SQL)
+#: Objects in pixels with the key of their neighbourhood: example, channel and dendrite.
+NEIGHBOUR_SQL = """(SELECT obj_id, ex_i || '/' || colocal_id || '/' || dend_id AS key, centroid[len(centroid)] AS a, centroid[len(centroid) - 1] AS b, CASE WHEN len(centroid) > 2 THEN centroid[1] ELSE 0 END AS c, CASE WHEN NOT isnan(intensity_mean) THEN intensity_mean END AS f
+FROM {OBJ} WHERE centroid_unit = 'px' AND dend_id IS NOT NULL AND centroid IS NOT NULL AND len(list_filter(centroid, lambda v: v IS NULL OR isnan(v))) = 0)""".replace("{OBJ}", OBJECTS_SQL)
+#: Pixels within which objects of a dendrite are neighbours.
+REACH = 6.0
 INSIDE_SQL = """(SELECT obj_id, poly_id FROM (SELECT obj_id, poly_id, r FROM (SELECT poly_id, ex_i, r, unnest(pts) AS a, unnest(list_append(pts[2:], pts[1])) AS b FROM
 (SELECT poly_id, ex_i, 0 AS r, ring AS pts FROM {POLY} UNION ALL SELECT poly_id, ex_i, unnest(range(1, len(coalesce(holes, [])) + 1)), unnest(coalesce(holes, [])) FROM {POLY}) WHERE len(pts) > 2) e JOIN {PTS} p USING (ex_i)
 WHERE (e.a.y <= p.y) <> (e.b.y <= p.y) AND p.x < e.a.x + (p.y - e.a.y) * (e.b.x - e.a.x) / (e.b.y - e.a.y) GROUP BY obj_id, poly_id, r HAVING count(*) % 2 = 1) GROUP BY obj_id, poly_id HAVING max(r) = 0)""".replace("{POLY}", POLY_SQL).replace("{PTS}", POINTS_SQL)
 
 
-def _embedded(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("embedding")
-    return table(spark, d, "embeddings").select("vec_id", "label", *[e[i].cast("double").alias(c) for i, c in enumerate("abcf")])
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("centroid")
+    whole = c.isNotNull() & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v)) & F.col("dend_id").isNotNull()
+    z = F.when(F.size(c) > 2, c[0]).otherwise(0.0)
+    return objects(spark, d, (F.col("centroid_unit") == "px") & whole).select("obj_id", F.concat_ws("/", "ex_i", "colocal_id", "dend_id").alias("key"), F.element_at(c, -1).alias("a"), F.element_at(c, -2).alias("b"), z.alias("c"), F.when(~F.isnan("intensity_mean"), F.col("intensity_mean")).alias("f"))
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
@@ -43,43 +50,44 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     return objects(spark, d, (F.col("centroid_unit") == "px") & whole).select("obj_id", "ex_i", "colocal_id", "dend_id", "intensity_mean", F.element_at(c, -1).alias("x"), F.element_at(c, -2).alias("y"))
 
 
-def _links(spark: SparkSession, d: str, radius: float = 0.1) -> DataFrame:
-    return n.both_ways(near_pairs(_embedded(spark, d), "vec_id", [F.col(c) for c in "abc"], [F.col("label")], radius))
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return n.both_ways(near_pairs(_placed(spark, d), "obj_id", [F.col(c) for c in "abc"], [F.col("key")], REACH))
 
 
-_NEAR = "FROM {EMB} p JOIN {EMB} q ON p.label = q.label AND p.vec_id <> q.vec_id AND pow(p.a - q.a, 2) + pow(p.b - q.b, 2) + pow(p.c - q.c, 2) <= 0.1 * 0.1"
+_NEAR = f"FROM {{NBR}} p JOIN {{NBR}} q ON p.key = q.key AND p.obj_id <> q.obj_id AND pow(p.a - q.a, 2) + pow(p.b - q.b, 2) + pow(p.c - q.c, 2) <= {REACH} * {REACH}"
 
 
-@query(f"SELECT p.vec_id AS id, q.vec_id AS neighbour {_NEAR}")
+@query(f"SELECT p.obj_id AS id, q.obj_id AS neighbour {_NEAR}")
 def radius_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return _links(spark, d)
 
 
-@query("""SELECT id, neighbour, k AS "rank" FROM (SELECT p.vec_id AS id, q.vec_id AS neighbour, row_number() OVER (PARTITION BY p.vec_id ORDER BY pow(p.a - q.a, 2) + pow(p.b - q.b, 2) + pow(p.c - q.c, 2), q.vec_id) AS k
-FROM {EMB} p JOIN {EMB} q ON p.label = q.label AND p.vec_id <> q.vec_id) WHERE k <= 5""")
+@query("""SELECT id, neighbour, k AS "rank" FROM (SELECT p.obj_id AS id, q.obj_id AS neighbour, row_number() OVER (PARTITION BY p.obj_id ORDER BY pow(p.a - q.a, 2) + pow(p.b - q.b, 2) + pow(p.c - q.c, 2), q.obj_id) AS k
+FROM {NBR} p JOIN {NBR} q ON p.key = q.key AND p.obj_id <> q.obj_id) WHERE k <= 5""")
 def knn_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return n.nearest_neighbours(_embedded(spark, d), "vec_id", [F.col(c) for c in "abc"], [F.col("label")], 5).select("id", "neighbour", "rank")
+    return n.nearest_neighbours(_placed(spark, d), "obj_id", [F.col(c) for c in "abc"], [F.col("key")], 5).select("id", "neighbour", "rank")
 
 
-@query(f"SELECT p.vec_id AS id, count(*) AS n, round(avg(q.f), 6) AS mean, round(coalesce(stddev_samp(q.f), 0), 6) AS sd, round(avg(q.f) - any_value(p.f), 6) AS delta {_NEAR} GROUP BY p.vec_id")
+@query(f"SELECT p.obj_id AS id, count(q.f) AS n, round(avg(q.f), 6) AS mean, round(CASE WHEN count(q.f) > 0 THEN coalesce(stddev_samp(q.f), 0) END, 5) AS sd, round(avg(q.f) - any_value(p.f), 6) AS delta {_NEAR} GROUP BY p.obj_id HAVING count(q.f) > 0")
 def neighbor_feature_stats(spark: SparkSession, d: str) -> DataFrame:
-    stats = n.neighbour_statistics(_links(spark, d), _embedded(spark, d), "vec_id", "f")
-    return stats.select("id", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "delta")])
+    stats = n.neighbour_statistics(_links(spark, d), _placed(spark, d), "obj_id", "f")
+    return stats.select("id", "n", F.round("mean", 6).alias("mean"), F.round("sd", 5).alias("sd"), F.round("delta", 6).alias("delta"))
 
 
-@query(f"SELECT quantile_cont(n, 0.05) AS q05, quantile_cont(n, 0.5) AS q50, quantile_cont(n, 0.95) AS q95 FROM (SELECT count(*) AS n {_NEAR} GROUP BY p.vec_id)")
+@query(f"SELECT quantile_cont(n, 0.05) AS q05, quantile_cont(n, 0.5) AS q50, quantile_cont(n, 0.95) AS q95 FROM (SELECT count(*) AS n {_NEAR} GROUP BY p.obj_id)")
 def neighbor_count_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    q = _links(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.percentile("n", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
+    q = percentiles(_links(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("n")), [], "n", [0.05, 0.5, 0.95], "q")
     return q.select(*[F.col("q")[i].alias(c) for i, c in enumerate(("q05", "q50", "q95"))])
 
 
-@query(f"""WITH s AS (SELECT p.vec_id AS id, any_value(p.label) AS label, count(*) AS n, avg(q.f) AS mean {_NEAR} GROUP BY p.vec_id), l AS (SELECT label, count(*) AS c, avg(f) AS m, stddev_pop(f) AS d FROM {{EMB}} GROUP BY label)
-SELECT id, round(m, 6) AS null_mean, round(d / sqrt(n) * sqrt((c - n) / (c - 1.0)), 6) AS null_sd, round((mean - m) / (d / sqrt(n) * sqrt((c - n) / (c - 1.0))), 4) AS z FROM s JOIN l USING (label)""")
+@query(f"""WITH s AS (SELECT p.obj_id AS id, any_value(p.key) AS key, count(q.f) AS n, avg(q.f) AS mean {_NEAR} GROUP BY p.obj_id HAVING count(q.f) > 0), l AS (SELECT key, count(f) AS c, avg(f) AS m, stddev_pop(f) AS d FROM {{NBR}} GROUP BY key),
+t AS (SELECT id, m, c, n, mean, CASE WHEN c > 1 THEN d / sqrt(n) * sqrt((c - n) / (c - 1.0)) END AS sd FROM s JOIN l USING (key) WHERE c > n)
+SELECT id, round(m, 6) AS null_mean, round(sd, 5) AS null_sd, round(coalesce((mean - m) / nullif(sd, 0), 0), 4) AS z FROM t""")
 def permutation_moments(spark: SparkSession, d: str) -> DataFrame:
-    rows = _embedded(spark, d)
-    stats = n.neighbour_statistics(_links(spark, d), rows, "vec_id", "f").join(rows.select(F.col("vec_id").alias("id"), "label"), "id")
-    pools = rows.groupBy("label").agg(F.count("f").alias("pool_n"), F.avg("f").alias("pool_mean"), F.stddev_pop("f").alias("pool_sd"))
-    return n.sampling_moments(stats, pools, ["label"]).select("id", F.round("null_mean", 6).alias("null_mean"), F.round("null_sd", 6).alias("null_sd"), F.round("z", 4).alias("z"))
+    rows = _placed(spark, d)
+    stats = n.neighbour_statistics(_links(spark, d), rows, "obj_id", "f").where("n > 0").join(rows.select(F.col("obj_id").alias("id"), "key"), "id")
+    pools = rows.groupBy("key").agg(F.count("f").alias("pool_n"), F.avg("f").alias("pool_mean"), F.stddev_pop("f").alias("pool_sd"))
+    return n.sampling_moments(stats, pools, ["key"]).where("pool_n > n").select("id", F.round("null_mean", 6).alias("null_mean"), F.round("null_sd", 5).alias("null_sd"), F.round("z", 4).alias("z"))
 
 
 @query("""WITH p AS (SELECT * FROM {PTS}), j AS (SELECT a.obj_id AS id, b.obj_id AS match, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM p a JOIN p b ON a.ex_i = b.ex_i AND a.colocal_id = 2 AND b.colocal_id = 1)
