@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame
 
@@ -29,27 +29,20 @@ def ordered(stages: list[Stage]) -> list[Stage]:
     by = {s.name: s for s in stages}
     if len(by) != len(stages):
         raise ValueError("two stages have the same name")
-    follows: dict[str, set[str]] = {n: set() for n in by}
-    for s in stages:
-        for n in s.after:
-            if n in by:
-                follows[n].add(s.name)
-        for n in s.before:
-            if n in by:
-                follows[s.name].add(n)
-    waits = {n: sum(n in f for f in follows.values()) for n in by}
-    ready = [n for n, w in waits.items() if not w]
-    heapq.heapify(ready)
-    out = []
-    while ready:
-        n = heapq.heappop(ready)
-        out.append(by[n])
-        for m in sorted(follows[n]):
-            waits[m] -= 1
-            if not waits[m]:
-                heapq.heappush(ready, m)
-    if len(out) < len(by):
-        raise ValueError(f"stages wait for each other: {sorted(set(by) - {s.name for s in out})}")
+    graph = TopologicalSorter({n: {a for a in s.after if a in by} for n, s in by.items()})
+    for n, s in by.items():
+        for later in s.before:
+            if later in by:
+                graph.add(later, n)
+    try:
+        graph.prepare()
+    except CycleError as e:
+        raise ValueError(f"stages wait for each other: {sorted(set(e.args[1]))}") from None
+    out, waiting = [], []
+    while graph.is_active():
+        waiting = sorted([*waiting, *graph.get_ready()])
+        out.append(by[waiting[0]])
+        graph.done(waiting.pop(0))
     return out
 
 
