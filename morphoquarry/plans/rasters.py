@@ -60,11 +60,6 @@ def downsample_mean(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFra
     return m.downsample(rows, ["ex_i"], ["y", "x"], "v", 4).withColumn("v", F.round("v", 6))
 
 
-@query()
-def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return m.otsu(objects(spark, d).where("intensity_mean IS NOT NULL"), ["colocal_id"], "intensity_mean")
-
-
 @query()
 def flood_from_seeds(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
     p = _places(spark, d, grid)

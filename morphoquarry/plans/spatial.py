@@ -137,12 +137,6 @@ def raster_lookup(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame
     return met.groupBy("obj_id").agg(F.coalesce(F.min(F.when(here, F.col("label"))), F.lit(0)).alias("roi"))
 
 
-@query()
-def clipped_area(spark: SparkSession, d: str) -> DataFrame:
-    rows = polygons(spark, d).where(F.size("ring") > 2).select("poly_id", "ring")
-    return g.area_in_box(rows, "ring", (0.0, 0.0, 128.0, 128.0), "area").select("poly_id", F.round("area", 4).alias("area"))
-
-
 @query()
 def polygonise(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
     v = voxels(spark, d, grid).select("ex_i", "poly_id", (F.col("y") / grid.pitch).cast("long").alias("y"), (F.col("x") / grid.pitch).cast("long").alias("x"))

@@ -153,9 +153,25 @@ def ols_slope(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("genotype").agg(F.round(F.regr_slope("area", "intensity_mean"), 9).alias("slope"), F.round(F.regr_intercept("area", "intensity_mean"), 6).alias("intercept"), F.round(s.correlation(F.col("area"), F.col("intensity_mean")), 6).alias("r"))
 
 
-@query()
+def _minor(m: list[list[str]], i: int) -> list[list[str]]:
+    return [[v for c, v in enumerate(row) if c != i] for r, row in enumerate(m) if r != i]
+
+
+def _determinant(m: list[list[str]]) -> str:
+    """The determinant of a matrix of SQL terms, by its first row."""
+    if len(m) == 1:
+        return m[0][0]
+    parts = [f"{'-' if j % 2 else '+'} {v} * ({_determinant([row[:j] + row[j + 1 :] for row in m[1:]])})" for j, v in enumerate(m[0])]
+    return " ".join(parts)
+
+
+_GRAM = [[f"g{min(i, j)}{max(i, j)}" for j in range(4)] for i in range(4)]
+_VIF = " UNION ALL ".join(f"SELECT '{f}' AS feature, round(g{i}{i} * ({_determinant(_minor(_GRAM, i))}) / ({_determinant(_GRAM)}), 4) AS vif FROM g" for i, f in enumerate(FEATURES))
+
+
+@query(f"WITH g AS (SELECT {', '.join(f'sum({a} * {b}) AS g{i}{j}' for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES) if i <= j)} FROM {{SYN}} WHERE {' AND '.join(f'{f} IS NOT NULL' for f in FEATURES)}) {_VIF}")
 def vif_gram(spark: SparkSession, d: str) -> DataFrame:
-    return s.variance_inflation(_synapses(spark, d), FEATURES)
+    return s.variance_inflation(_synapses(spark, d), FEATURES).withColumn("vif", F.round("vif", 4))
 
 
 @query()
