@@ -74,10 +74,10 @@ def roi_channel_means(spark: SparkSession, d: str) -> DataFrame:
     return out.select("ex_i", "roi_i", "colocal_id", F.round("intensity_mean", 6).alias("intensity_mean"), "n")
 
 
-@query("SELECT obj_id, greatest(axis_major_length, axis_minor_length) AS longest, round(area * intensity_mean, 4) AS integrated, round(axis_major_length / nullif(axis_minor_length, 0), 6) AS aspect FROM {OBJ} WHERE axis_major_length IS NOT NULL AND NOT isnan(axis_major_length) AND NOT isnan(axis_minor_length)")
+@query("SELECT obj_id, greatest(axis_major_length, axis_minor_length) AS longest, area * intensity_mean AS integrated, round(axis_major_length / nullif(axis_minor_length, 0), 6) AS aspect FROM {OBJ} WHERE axis_major_length IS NOT NULL AND NOT isnan(axis_major_length) AND NOT isnan(axis_minor_length)")
 def derived_columns(spark: SparkSession, d: str) -> DataFrame:
     rows = objects(spark, d).where("axis_major_length IS NOT NULL AND axis_minor_length IS NOT NULL")
-    return rows.select("obj_id", F.array_max(F.array("axis_major_length", "axis_minor_length")).alias("longest"), F.round(F.col("area") * F.col("intensity_mean"), 4).alias("integrated"), F.round(F.try_divide("axis_major_length", "axis_minor_length"), 6).alias("aspect"))
+    return rows.select("obj_id", F.array_max(F.array("axis_major_length", "axis_minor_length")).alias("longest"), (F.col("area") * F.col("intensity_mean")).alias("integrated"), F.round(F.try_divide("axis_major_length", "axis_minor_length"), 6).alias("aspect"))
 
 
 @query(r"""SELECT DISTINCT ex_i, regexp_extract(replace(image_path, '\', '/'), '^(.*)/[^/]*$', 1) AS folder, regexp_replace(regexp_extract(replace(image_path, '\', '/'), '([^/]*)$', 1), '\.[^.]*$', '') AS stem, regexp_extract(image_path, '(\.[^./]*)$', 1) AS suffix,
