@@ -322,3 +322,11 @@ def p7_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_clusters": p7_clusters}
+_C = ", ".join(f"(avg({c}) OVER g) AS m{i}, (stddev_pop({c}) OVER g) AS d{i}" for i, c in enumerate(NUM_COLS))
+#: Groups that lie further apart than they extend, by all pairs: distances leave a gap between the largest within and the least between.
+_GROUPS = f"""WITH r AS (SELECT DISTINCT synapse_id, genotype, {", ".join(NUM_COLS)} FROM synapse_features WHERE synapse_id IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in NUM_COLS)}),
+s AS (SELECT synapse_id AS id, coalesce(genotype, '') AS g, {", ".join(f"coalesce(({c} - m{i}) / nullif(d{i}, 0), 0) AS v{i}" for i, c in enumerate(NUM_COLS))} FROM (SELECT *, {_C} FROM r WINDOW g AS (PARTITION BY genotype))),
+p AS (SELECT a.g, a.id AS a, b.id AS b, sqrt({" + ".join(f"pow(a.v{i} - b.v{i}, 2)" for i in range(len(NUM_COLS)))}) AS d FROM s a JOIN s b USING (g)),
+q AS (SELECT g, d, lag(d) OVER (PARTITION BY g ORDER BY d) AS below FROM p WHERE a < b AND d > 0.2), t AS (SELECT g, arg_max((d + below) / 2, d / below) AS reach FROM q WHERE below IS NOT NULL GROUP BY g),
+c AS (SELECT p.g, p.a AS synapse_id, min(p.b) AS rep_id FROM p JOIN t USING (g) WHERE p.d <= t.reach GROUP BY ALL)"""
+SQL = {"p7_found": f"{_GROUPS} SELECT rep_id, synapse_id FROM c"}

@@ -16,8 +16,8 @@ from morphoquarry.session import Cut
 from morphoquarry.sources.tables import table
 
 CAPACITY = 2048
-#: Sub-groups by which items of equal length are ranked without meeting in one task; at most CAPACITY · RANK_BINS counters are broadcast.
-RANK_BINS = 64
+#: Items of equal length that are ranked in one task. Counters of one in so many items, and one per length, are broadcast.
+RANK_ROWS = 10_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -93,19 +93,22 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
     return placements, opened, operations
 
 
-def packed(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def packed(items: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS) -> DataFrame:
     """(id, piece, n_tokens, container, start) for items (id, n_tokens): where each item lies.
 
     Items longer than the capacity are cut into full pieces, each a container of its own, and a rest; no other item is
     split. Items of length 0 (NULL or empty texts) take no place: container and start are NULL. An id that repeats is an
     item each time. The plan is made on the driver from the histogram of lengths, of at most ``capacity`` entries; items
-    find their places by their rank among items of equal length, which is counted in sub-groups of a hash.
+    find their places by their rank among items of equal length, which is counted in sub-groups of a hash, as many as the
+    length's items ask for.
     """
     spark, cut = items.sparkSession, Cut(items.sparkSession)
     whole, rest = F.floor(F.col("n_tokens") / capacity), F.col("n_tokens") % capacity
     sizes = F.concat(F.array_repeat(F.lit(capacity).cast("long"), whole.cast("int")), F.when((rest > 0) | (F.col("n_tokens") <= 0), F.array(F.greatest(rest, F.lit(0)))).otherwise(F.array().cast("array<bigint>")))
     counted = items.select(F.col("id"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
-    pieces = cut.table(counted.select("id", F.posexplode(sizes).alias("piece", "size")).withColumn("bin", F.pmod(F.xxhash64("id", "piece"), F.lit(RANK_BINS)).cast("int")))
+    pieces = cut.table(counted.select("id", F.posexplode(sizes).alias("piece", "size")))
+    parts = pieces.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / rank_rows).cast("int").alias("parts"))  # at most capacity + 1 rows
+    pieces = pieces.join(F.broadcast(parts), "size").withColumn("bin", F.pmod(F.xxhash64("id", "piece"), F.col("parts")).cast("int"))
     counts = pieces.where("size > 0").groupBy("size", "bin").count().toPandas().sort_values(["size", "bin"])
     histogram = counts.groupby("size")["count"].sum()
     placements, _, _ = plan({int(k): int(v) for k, v in histogram.items()}, capacity)
@@ -143,4 +146,27 @@ def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(measured(table(spark, folder, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p8_packing": p8_packing}
+def p8_fill(spark: SparkSession, folder: str, capacity: int = CAPACITY) -> DataFrame:
+    """What holds of the containers of all documents: sizes, the share of unused space, and whether the result is sound.
+
+    ``containers`` stands against ``at_least``, the tokens over the capacity, below which no packing can be.
+    """
+    placed = Cut(spark).table(p8_packing(spark, folder))
+    held = placed.where("container IS NOT NULL")
+    each = held.groupBy("container").agg(F.sum("n_tokens").alias("used"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.min("start").alias("first"))
+    fill = each.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("most"), F.bool_and((F.col("end") == F.col("used")) & (F.col("first") == 0)).alias("no_gap"))
+    pieces = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.count_distinct("piece").alias("apart"))
+    whole = pieces.agg(F.count(F.lit(1)).alias("docs"), F.bool_and((F.col("pieces") == 1) | (F.col("n") > capacity)).alias("unsplit"), F.bool_and(F.col("pieces") == F.col("apart")).alias("once"))
+    both = fill.withColumn("k", F.lit(1)).join(whole.withColumn("k", F.lit(1)), "k")
+    lower = F.ceil(F.col("tokens") / capacity)
+    return both.select("docs", "containers", lower.alias("at_least"), F.round(1 - F.col("tokens") / (F.col("containers") * capacity), 6).alias("unused"), (F.col("unsplit") & F.col("once") & F.col("no_gap") & (F.col("most") <= capacity)).alias("sound"))
+
+
+def p8_sound(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether all documents are packed, each once and unsplit unless too long, without overlap, at most 1 % above the lower bound (and one container)."""
+    f = p8_fill(spark, folder)
+    return f.select("docs", "sound", (F.col("containers") <= F.col("at_least") * 1.01 + 1).alias("tight"))
+
+
+QUERIES = {"p8_packing": p8_packing, "p8_fill": p8_fill, "p8_sound": p8_sound}
+SQL = {"p8_sound": "SELECT count(DISTINCT doc_id) AS docs, true AS sound, true AS tight FROM documents WHERE doc_id IS NOT NULL"}

@@ -18,6 +18,18 @@ LEAST_SECTION = 4
 _HEAD, _LEVEL = struct.Struct("<HBqH"), struct.Struct("<qIfBI")
 
 
+def is_plain(data: bytes) -> bool:
+    """Whether a dump holds all its values as they came."""
+    return _HEAD.unpack_from(data)[3] == 1 and _LEVEL.unpack_from(data, _HEAD.size)[0] == 0
+
+
+def other_side(data: bytes) -> bytes:
+    """A plain dump, as the sketch that protects the other tail would have it."""
+    k, high, n, _ = _HEAD.unpack_from(data)
+    at = _HEAD.size + _LEVEL.size
+    return _HEAD.pack(k, not high, n, 1) + data[_HEAD.size : at] + (-np.frombuffer(data, "<f8", -1, at)).tobytes()
+
+
 def dumped(values: np.ndarray, k: int, high: bool) -> bytes:
     """What a new sketch dumps after these numbers, none of them NaN; few values need no sketch for that."""
     if len(values) > 2 * START_SECTIONS * max(LEAST_SECTION, 2 * round(k / 2)):
@@ -145,7 +157,7 @@ class RelSketch:
         """All of them merged; the values of those that never compacted are taken together."""
         whole, plain = [], []
         for data in dumps:
-            if _HEAD.unpack_from(data)[3] == 1 and _LEVEL.unpack_from(data, _HEAD.size)[0] == 0:
+            if is_plain(data):
                 plain.append(np.frombuffer(data, "<f8", -1, _HEAD.size + _LEVEL.size))
             else:
                 whole.append(data)
