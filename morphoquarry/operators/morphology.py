@@ -126,7 +126,11 @@ def flood(df: DataFrame, keys: list[str], axes: list[str], value: str, seed: str
 
 
 def skeleton_length(voxels: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """(keys, label, length) of the longest way along each object's skeleton (2-D), steps of 1 or √2; ways are exact, by the two-sweep search on trees and over all ends elsewhere."""
+    """(keys, label, length) of the longest way along each object's skeleton (2-D), steps of 1 or √2.
+
+    Ways are shortest ones, from any end of the skeleton to any place; in parts without an end, as loops are, from any
+    place. An object without places has no row.
+    """
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in voxels.schema if f.name in [*keys, label])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -159,9 +163,19 @@ def thinned(places: set[tuple[int, int]]) -> set[tuple[int, int]]:
 
 def longest_way(places: set[tuple[int, int]]) -> float:
     links = {p: [((p[0] + dy, p[1] + dx), (1.0 if not dy or not dx else 2**0.5)) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy or dx) and (p[0] + dy, p[1] + dx) in places] for p in places}
-    ends = [p for p, to in links.items() if len(to) <= 1] or sorted(places)[:1]
+    starts, seen = [], set()
+    for p in links:
+        if p not in seen:
+            part, todo = [], [p]
+            seen.add(p)
+            while todo:
+                part.append(todo.pop())
+                fresh = [q for q, _ in links[part[-1]] if q not in seen]
+                seen.update(fresh)
+                todo += fresh
+            starts += [q for q in part if len(links[q]) <= 1] or part
     best = 0.0
-    for start in sorted(ends):
+    for start in starts:
         far, queue = {start: 0.0}, [(0.0, start)]
         while queue:
             d, at = heapq.heappop(queue)

@@ -153,6 +153,13 @@ def test_morphology(spark):
     assert morphology.propagate(slices, ["ex"], "label").select("object").distinct().count() == 2
     assert morphology.longest_way(morphology.thinned({(0, x) for x in range(10)})) == 9.0
     assert morphology.longest_way({(i, i) for i in range(5)}) == pytest.approx(4 * 2**0.5)
+    loop = lambda y, x, h, w: {(y + i, x + j) for i in range(h) for j in range(w) if i in (0, h - 1) or j in (0, w - 1)}
+    for shape in (loop(0, 0, 7, 9), loop(0, 0, 7, 9) | loop(6, 8, 9, 5), loop(0, 0, 7, 9) | {(20, x) for x in range(3)}):
+        place = {p: i for i, p in enumerate(sorted(shape))}
+        d = [[0.0 if p == q else math.dist(p, q) if max(abs(p[0] - q[0]), abs(p[1] - q[1])) == 1 else math.inf for q in place] for p in place]
+        for k in range(len(d)):
+            d = [[min(d[i][j], d[i][k] + d[k][j]) for j in range(len(d))] for i in range(len(d))]
+        assert morphology.longest_way(shape) == pytest.approx(max(x for row in d for x in row if x < math.inf))
     values = spark.createDataFrame([("a", v) for v in [1.0] * 50 + [9.0] * 50] + [("b", 3.0)], "k string, v double")
     cut = {r.k: r.threshold for r in morphology.otsu(values, ["k"], "v").collect()}
     assert 1.0 < cut["a"] < 9.0 and cut["b"] == 3.0
