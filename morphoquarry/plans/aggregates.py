@@ -11,6 +11,7 @@ from morphoquarry.operators import aggregate as a
 from morphoquarry.operators import geometry as g
 from morphoquarry.operators.filters import top_per_key
 from morphoquarry.operators.hierarchy import closure, hierarchy
+from morphoquarry.operators.twostage import percentiles
 from morphoquarry.sources.tables import OBJECTS_SQL, objects, table
 
 QUERIES, SQL = {}, {}
@@ -127,7 +128,7 @@ def cov_two_level(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT event_type, q AS share, round(quantile_cont(value, q), 6) AS value FROM events, (VALUES (0.05), (0.25), (0.5), (0.75), (0.95)) t(q) GROUP BY event_type, q""".replace("quantile_cont(value, q)", "CASE q WHEN 0.05 THEN quantile_cont(value, 0.05) WHEN 0.25 THEN quantile_cont(value, 0.25) WHEN 0.5 THEN quantile_cont(value, 0.5) WHEN 0.75 THEN quantile_cont(value, 0.75) ELSE quantile_cont(value, 0.95) END").replace("q AS share", "CAST(q AS DOUBLE) AS share"))
 def quantile_summary(spark: SparkSession, d: str) -> DataFrame:
     shares = [0.05, 0.25, 0.5, 0.75, 0.95]
-    q = table(spark, d, "events").groupBy("event_type").agg(F.percentile("value", F.array(*[F.lit(s) for s in shares])).alias("v"))
+    q = percentiles(table(spark, d, "events"), ["event_type"], "value", shares, "v")
     return q.select("event_type", F.explode(F.arrays_zip(F.array(*[F.lit(s) for s in shares]).alias("s"), F.col("v"))).alias("z")).select("event_type", F.col("z.s").alias("share"), F.round("z.v", 6).alias("value"))
 
 
