@@ -19,6 +19,8 @@ FLUSH_ROWS = 1_000_000
 #: Fixed value of the tables: an intensity that stands for no measurement.
 SATURATED = 65535.0
 MEASURES = ["intensity_mean", "area_um2", "volume_um3"]
+#: Most groups whose percentiles (under 1 kB each) are broadcast to count ranks.
+BROADCAST_GROUPS = 10_000
 LOW, HIGH = (0.001, 0.01, 0.05, 0.1, 0.25), (0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
 
 
@@ -153,9 +155,10 @@ def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 def p6_ranks_within_error(spark: SparkSession, folder: str) -> DataFrame:
     """Whether the true ranks of all percentiles, counted over all values, lie within the error told (a third more for chance)."""
     found = p6_percentiles(spark, folder)
-    targets = found.groupBy("treatment", "measure").agg(F.sort_array(F.collect_list(F.struct("percentile", "value", "rank_error", "n"))).alias("t"))
+    targets = Cut(spark).table(found.groupBy("treatment", "measure").agg(F.sort_array(F.collect_list(F.struct("percentile", "value", "rank_error", "n"))).alias("t")))
+    few = F.broadcast(targets) if targets.count() <= BROADCAST_GROUPS else targets
     values = _values(spark, folder).unpivot(["treatment"], MEASURES, "measure", "v").where("v IS NOT NULL")
-    met = values.withColumnRenamed("treatment", "g").join(targets, F.col("g").eqNullSafe(F.col("treatment")) & (values["measure"] == targets["measure"])).select("treatment", targets["measure"], "v", "t")
+    met = values.withColumnRenamed("treatment", "g").join(few, F.col("g").eqNullSafe(F.col("treatment")) & (values["measure"] == targets["measure"])).select("treatment", targets["measure"], "v", "t")
     count = len(LOW) + len(HIGH)
     below = [F.count(F.when(F.col("v") < F.col("t")[i]["value"], 1)).alias(f"b{i}") for i in range(count)] + [F.count(F.when(F.col("v") <= F.col("t")[i]["value"], 1)).alias(f"u{i}") for i in range(count)]
     ranks = met.groupBy("treatment", "measure").agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("n"), *below)
