@@ -116,10 +116,10 @@ def ks_two_samples(df: DataFrame, keys: list[str], group: str, a, b, value: str)
 
 
 def chi_square_2x2(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Pearson's statistic without continuity correction."""
-    n = (a + b + c + d).cast("double")
-    cross = (a * d - b * c).cast("double")
-    return F.try_divide(n * cross * cross, ((a + b) * (c + d) * (a + c) * (b + d)).cast("double"))
+    """Pearson's statistic without continuity correction. Products of counts go beyond 64 bits from some 50 000 a cell on."""
+    whole, real = (lambda v: v.cast("decimal(19,0)")), (lambda v: v.cast("double"))
+    cross = real(whole(a) * whole(d) - whole(b) * whole(c))
+    return F.try_divide(real(a + b + c + d) * (cross * cross), real(a + b) * real(c + d) * real(a + c) * real(b + d))
 
 
 def with_table_p(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
