@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphoquarry.operators import graph as g
 from morphoquarry.operators import learn as l
+from morphoquarry.operators import painted
 from morphoquarry.operators.filters import top_per_key
 from morphoquarry.operators.twostage import stable
-from morphoquarry.plans.aggregates import COARSE, Grid, voxels
+from morphoquarry.plans.aggregates import COARSE, Grid, polygons
 from morphoquarry.plans.stats import _PAIRS_SQL, FEATURES, SYN_SQL, _pairs, _synapses
 from morphoquarry.sources.tables import OBJECTS_SQL, table
 
@@ -76,12 +78,16 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def label_components(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
     """Labels of an example that fall into several parts of touching places: as many rows as parts."""
-    v = voxels(spark, d, grid).select("ex_i", "label", (F.col("y") / grid.pitch).cast("long").alias("y"), (F.col("x") / grid.pitch).cast("long").alias("x")).distinct()
-    v = v.withColumn("id", F.xxhash64("ex_i", "label", "y", "x"))
-    near = v.select("ex_i", "label", F.explode(F.array(F.struct((F.col("y") + 1).alias("y"), F.col("x")), F.struct(F.col("y"), (F.col("x") + 1).alias("x")))).alias("p"), F.col("id").alias("src")).select("ex_i", "label", "p.y", "p.x", "src")
-    links = near.join(v.withColumnRenamed("id", "dst"), ["ex_i", "label", "y", "x"]).select("src", "dst")
-    parts = g.connected_components(links, v.select("id"))
-    return v.join(parts, "id").groupBy("ex_i", "label", "component").agg(F.count(F.lit(1)).alias("area")).select("ex_i", "label", "area")
+
+    def parts(s: painted.Shapes) -> dict:
+        labels, plane = np.unique(np.stack([s.image, s.number], 1), axis=0, return_inverse=True)
+        runs = s.apart(plane.ravel(), len(labels))
+        part, which = np.unique(painted.touching(runs), return_inverse=True)
+        area = np.bincount(which, runs.hi - runs.lo + 1, len(part)).astype(np.int64)
+        of = labels[runs.id[part]]
+        return {"ex_i": s.names.take(of[:, 0]), "label": painted.numbers(of[:, 1]), "area": area}
+
+    return painted.by_image(polygons(spark, d), "ex_i", "label", "ring", "holes" if grid.holes else None, grid.pitch, parts, "ex_i string, label long, area long")
 
 
 @query("SELECT synapse_id, CAST(genotype = 'HET' AS INT) AS genotype_HET, CAST(genotype = 'KO' AS INT) AS genotype_KO, CAST(genotype = 'WT' AS INT) AS genotype_WT FROM {SYN}")
