@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from morphoquarry.operators import geometry as g
 from morphoquarry.operators import neighbours as n
+from morphoquarry.operators import painted
 from morphoquarry.operators.proximity import containing_polygons, near_pairs
 from morphoquarry.operators.twostage import percentiles
-from morphoquarry.plans.aggregates import COARSE, PITCH, POLY_SQL, VOXELS_SQL, Grid, polygons, voxels
+from morphoquarry.plans.aggregates import COARSE, PITCH, POLY_SQL, VOXELS_SQL, Grid, polygons
 from morphoquarry.session import Cut
 from morphoquarry.sources.tables import OBJECTS_SQL, objects, table
 
@@ -139,5 +142,11 @@ def raster_lookup(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame
 
 @query()
 def polygonise(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
-    v = voxels(spark, d, grid).select("ex_i", "poly_id", (F.col("y") / grid.pitch).cast("long").alias("y"), (F.col("x") / grid.pitch).cast("long").alias("x"))
-    return g.outlines(v, ["ex_i"], "poly_id")
+    def outlines(s: painted.Shapes) -> dict:
+        shape, corners, y, x = painted.rings(s.apart(np.arange(len(s.number)), len(s.number)))
+        ring = pa.ListArray.from_arrays(np.append(0, corners.cumsum()), pa.StructArray.from_arrays([pa.array(x.astype(float)), pa.array(y.astype(float))], ["x", "y"]))
+        new = np.flatnonzero(np.append(True, shape[1:] != shape[:-1])[: len(shape)])
+        _, number = painted.spread(np.diff(np.append(new, len(shape))))
+        return {"ex_i": s.names.take(s.image[shape]), "poly_id": painted.numbers(s.number[shape]), "ring_no": number, "ring": ring}
+
+    return painted.by_image(polygons(spark, d), "ex_i", "poly_id", "ring", "holes" if grid.holes else None, grid.pitch, outlines, f"ex_i string, poly_id long, ring_no int, ring {g.RING}")
