@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphoquarry.operators import geometry as g
+from morphoquarry.operators import painted
 from morphoquarry.operators import runs as r
 from morphoquarry.operators.twostage import stable
 from morphoquarry.plans import aggregates, graphs, rasters, spatial
@@ -85,12 +87,18 @@ def average_iou(spark: SparkSession, d: str) -> DataFrame:
 def roi_mask_summary(spark: SparkSession, d: str) -> DataFrame:
     """Per example and region label of the mask: pixels; label 0 is the background within the box of all regions. Of overlapping regions the smallest label holds the pixel."""
     polys = polygons(spark, d).where("ex_i IS NOT NULL AND poly_id IS NOT NULL AND label IS NOT NULL")
-    pixels = g.raster(polys, ["ex_i", "poly_id", "label"], "ring", 1.0, "holes")
-    mask = pixels.groupBy("ex_i", "y", "x").agg(F.min("label").alias("label"))
-    counts = mask.groupBy("ex_i", "label").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{k}") for c in "yx" for k, f in (("lo", F.min), ("hi", F.max))])
-    box = (F.max("y_hi") - F.min("y_lo") + 1) * (F.max("x_hi") - F.min("x_lo") + 1)
-    ground = counts.groupBy("ex_i").agg((box - F.sum("n")).cast("long").alias("area")).select("ex_i", F.lit(0).cast("long").alias("label"), "area")
-    return counts.select("ex_i", F.col("label").cast("long"), F.col("n").alias("area")).unionAll(ground)
+
+    def areas(s: painted.Shapes) -> dict:
+        image = s.painted()
+        plane, row, lo, hi = image.places()
+        of, which = np.unique(np.stack([plane, image.id], 1), axis=0, return_inverse=True)
+        label = np.bincount(which.ravel(), hi - lo + 1, len(of)).astype(np.int64)
+        new = np.flatnonzero(np.append(True, plane[1:] != plane[:-1])[: len(plane)])
+        height, width = (np.maximum.reduceat(b, new) - np.minimum.reduceat(a, new) + 1 if len(new) else new for a, b in ((row, row), (lo, hi)))
+        ground = height * width - np.add.reduceat(hi - lo + 1, new) if len(new) else new
+        return {"ex_i": s.names.take(np.append(of[:, 0], plane[new])), "label": np.append(of[:, 1], 0 * new), "area": np.append(label, ground)}
+
+    return painted.by_image(polys, "ex_i", "label", "ring", "holes", PIXELS.pitch, areas, "ex_i string, label long, area long")
 
 
 def _sql(text: str) -> str:

@@ -62,7 +62,7 @@ def test_same_as_set_operations(spark, folder, name):
     assert of(got) == of(want)
 
 
-@pytest.mark.parametrize("name", WANT)
+@pytest.mark.parametrize("name", [*WANT, "roi_mask_summary"])
 def test_only_polygons_move(spark, folder, name):
     plan = pixels.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
