@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,27 +144,67 @@ def skeleton_length(voxels: DataFrame, keys: list[str], label: str) -> DataFrame
 
 def thinned(places: set[tuple[int, int]]) -> set[tuple[int, int]]:
     """Thinning by peeling outline places that no connection depends on, from two sides in turn."""
-    ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
-    out = set(places)
+    if not places:
+        return set()
+    y0, x0 = min(y for y, _ in places) - 1, min(x for _, x in places) - 1
+    grid = np.zeros((max(y for y, _ in places) - y0 + 2, max(x for _, x in places) - x0 + 2), bool)
+    grid[tuple(np.array(sorted(places)).T - [[y0], [x0]])] = True
+    return {(y + y0, x + x0) for y, x in thinned_grid(grid)}
+
+
+def thinned_grid(grid: np.ndarray) -> set[tuple[int, int]]:
+    """``thinned`` for a grid with an empty margin. The whole grid is one number of a bit a place, so that neighbours are shifts of it."""
+    height, width = grid.shape
+    out = int.from_bytes(np.packbits(grid.ravel(), bitorder="little").tobytes(), "little")
     while True:
-        before = len(out)
+        before = out
         for side in (0, 1):
-            gone = []
-            for y, x in out:
-                n = [(y + dy, x + dx) in out for dy, dx in ring]
-                turns = sum(not n[i] and n[(i + 1) % 8] for i in range(8))
-                up, right, down, left = n[0], n[2], n[4], n[6]
-                open_side = (not (up and right and down) and not (right and down and left)) if side == 0 else (not (up and right and left) and not (up and down and left))
-                if 2 <= sum(n) <= 6 and turns == 1 and open_side:
-                    gone.append((y, x))
-            out.difference_update(gone)
-        if len(out) == before:
-            return out
+            up, down, left, right = out << width, out >> width, out << 1, out >> 1
+            n = (up, up >> 1, right, down >> 1, down, down << 1, left, up << 1)
+            # turns: some, several; two or more in a row that are set; none in a row that are both empty
+            some = several = two = 0
+            full, a = out, n[7]
+            for b in n:
+                turn = (a ^ b) & b
+                several |= some & turn
+                some |= turn
+                two |= a & b
+                full &= a | b
+                a = b
+            shut = (up & right & down) | (right & down & left) if side == 0 else (up & right & left) | (up & down & left)
+            gone = out & some & two
+            out ^= gone & ~(several | full | shut)
+        if out == before:
+            bits = np.unpackbits(np.frombuffer(out.to_bytes((height * width + 7) // 8, "little"), np.uint8), bitorder="little")
+            y, x = np.divmod(np.flatnonzero(bits), width)
+            return set(zip(y.tolist(), x.tolist()))
+
+
+def flooded_from(at: np.ndarray, level: np.ndarray, seeds: np.ndarray, width: int, size: int) -> np.ndarray:
+    """Which seed each place of a grid of ``size`` places, rows of ``width``, is reached from; -1 for none. ``at`` are the places that exist, with a free place to all sides, and their levels from 0."""
+    height, basin = np.full(size, -1), np.full(size, -1)
+    height[at], basin[seeds] = level, np.arange(len(seeds))
+    queue = sorted((height[seeds] * size + seeds).tolist())
+    height[seeds] = -1
+    height, basin, push, pop = height.tolist(), basin.tolist(), heapq.heappush, heapq.heappop
+    while queue:
+        key = pop(queue)
+        here = key % size
+        base = key - here
+        mine = basin[here]
+        for to in (here - width, here - 1, here + 1, here + width):
+            h = height[to]
+            if h >= 0:
+                height[to] = -1
+                basin[to] = mine
+                h *= size
+                push(queue, (h if h > base else base) + to)
+    return np.array(basin)
 
 
 def longest_way(places: set[tuple[int, int]]) -> float:
     links = {p: [((p[0] + dy, p[1] + dx), (1.0 if not dy or not dx else 2**0.5)) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy or dx) and (p[0] + dy, p[1] + dx) in places] for p in places}
-    starts, seen = [], set()
+    starts, seen, best = [], set(), 0.0
     for p in links:
         if p not in seen:
             part, todo = [], [p]
@@ -173,8 +214,10 @@ def longest_way(places: set[tuple[int, int]]) -> float:
                 fresh = [q for q, _ in links[part[-1]] if q not in seen]
                 seen.update(fresh)
                 todo += fresh
-            starts += [q for q in part if len(links[q]) <= 1] or part
-    best = 0.0
+            ends = [q for q in part if len(links[q]) <= 1]
+            starts += ends
+            if not ends:
+                best = max(best, _widest(part, links))
     for start in starts:
         far, queue = {start: 0.0}, [(0.0, start)]
         while queue:
@@ -187,3 +230,40 @@ def longest_way(places: set[tuple[int, int]]) -> float:
                     heapq.heappush(queue, (d + step, to))
         best = max(best, max(far.values(), default=0.0))
     return best
+
+
+def _widest(part: list, links: dict) -> float:
+    """The longest of the shortest ways between any two places of a part without ends, by way of its junctions: ways between those, and each place's two ways to them."""
+    junctions = [p for p in part if len(links[p]) != 2] or part[:1]
+    number = {p: i for i, p in enumerate(junctions)}
+    ways = np.full((len(junctions), len(junctions)), np.inf)
+    np.fill_diagonal(ways, 0.0)
+    # (one junction, way to it, the other, way to it, which chain)
+    rows, seen = [(i, 0.0, i, 0.0, -1 - i) for i in range(len(junctions))], set()
+    chains = 0
+    for p in junctions:
+        for q, step in links[p]:
+            if q in seen:
+                continue
+            before, at, chain, length = p, q, [], step
+            while at not in number:
+                seen.add(at)
+                chain.append(length)
+                to, step = next((t, s) for t, s in links[at] if t != before)
+                before, at, length = at, to, length + step
+            i, j = number[p], number[at]
+            ways[i, j] = ways[j, i] = min(ways[i, j], length)
+            rows += [(i, a, j, length - a, chains) for a in chain]
+            chains += 1
+    for k in range(len(junctions)):
+        ways = np.minimum(ways, ways[:, k, None] + ways[None, k])
+    u, a, v, b, chain = (np.array(c) for c in zip(*rows))
+    best, block = 0.0, max(1, 1_000_000 // len(u))
+    for i in range(0, len(u), block):
+        s = slice(i, i + block)
+        far = np.where(chain[s, None] == chain, np.abs(a[s, None] - a), np.inf)
+        for w, c in ((u, a), (v, b)):
+            for x, d in ((u, a), (v, b)):
+                far = np.minimum(far, c[s, None] + ways[w[s, None], x] + d)
+        best = max(best, float(far.max()))
+    return best

@@ -62,7 +62,34 @@ def test_same_as_set_operations(spark, folder, name):
     assert of(got) == of(want)
 
 
-@pytest.mark.parametrize("name", [*WANT, "roi_mask_summary"])
+@pytest.mark.parametrize("name", [*WANT, "pixel_skeleton_lengths", "roi_mask_summary"])
 def test_only_polygons_move(spark, folder, name):
     plan = pixels.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_thinning_and_ways():
+    def peeled(places):
+        ring, out = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)], set(places)
+        while True:
+            before = len(out)
+            for side in (0, 1):
+                gone = set()
+                for y, x in out:
+                    n = [(y + dy, x + dx) in out for dy, dx in ring]
+                    up, right, down, left = n[::2]
+                    shut = (up and right and down) or (right and down and left) if side == 0 else (up and right and left) or (up and down and left)
+                    if 2 <= sum(n) <= 6 and sum(not n[i - 1] and n[i] for i in range(8)) == 1 and not shut:
+                        gone.add((y, x))
+                out -= gone
+            if len(out) == before:
+                return out
+
+    rng = random.Random(3)
+    for fill in (0.5, 0.8, 0.95):
+        shape = {(y, x) for y in range(-4, 25) for x in range(3, 40) if rng.random() < fill}
+        assert morphology.thinned(shape) == peeled(shape)
+    assert morphology.thinned(set()) == set()
+    # a frame has no end; its ways cut the corner that they pass
+    frame = {(y, x) for y in range(501) for x in range(501) if y in (0, 500) or x in (0, 500)}
+    assert morphology.longest_way(frame) == pytest.approx(998 + 2**0.5)
