@@ -338,3 +338,13 @@ def test_subjects_held_out(spark):
 def test_sentences():
     assert sentences("# Notes\n\nOne here. Two\nis wrapped!\nSteps:\n- Three\n\n4. Four.") == ["One here.", "Two is wrapped!", "Three", "Four."]
     assert sentences("<html><p>A b.</p><p>C <b>d</b></p></html>") == ["A b.", "C d"] and sentences(None) == sentences("...") == []
+
+
+def test_copies_of_an_item_are_searched_once(spark, monkeypatch):
+    text = "seven grey boats left the harbour before noon and nobody on the quay had seen them"
+    docs = spark.createDataFrame([(1, f"They say {text} again."), (2, "nothing here"), (1, f"They say {text} again.")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, text) for i in range(300)] + [(300, "a quite different item of text that no document holds at all, not in part"), (7, f"They say {text}")], "item_id long, text string")
+    held, make = [], Items.__init__
+    monkeypatch.setattr(Items, "__init__", lambda self, ids, texts: held.append(len(texts)) or make(self, ids, texts))
+    got = [tuple(r) for r in leakage.leaks(docs, "doc_id", "text", items, "item_id", "text").collect()]
+    assert sorted(got) == [(1, i) for i in range(300)] and held == [3]
