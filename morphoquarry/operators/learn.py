@@ -13,6 +13,8 @@ from morphoquarry.operators.twostage import with_percentiles
 CLARA_SAMPLE, CLARA_REPEATS = 100_000, 5
 #: Rows whose distances to each other are held at once; beyond them they are made in tiles, again for each step.
 PAM_ROWS, PAM_TILE = 2_000, 2_000_000
+#: Points of a cell, which are weighed as one first.
+PAM_CELL = 24
 #: Trees of the forest, and shuffles of each feature.
 TREES, SHUFFLES = 400, 15
 #: Most categories of a column that is one-hot encoded; they become columns.
@@ -118,38 +120,75 @@ def pam(points: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
     return np.array(sorted(medoids))
 
 
+def _cells(points: np.ndarray) -> list[np.ndarray]:
+    """Numbers of points in cells of at most ``PAM_CELL``, halved along their longest side."""
+    todo, out = [np.arange(len(points))], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= PAM_CELL:
+            out.append(at)
+            continue
+        side = points[at].T[np.ptp(points[at], axis=0).argmax()]
+        order = np.argpartition(side, len(at) // 2)
+        todo += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
+    return out
+
+
 def pam_tiled(spark: SparkSession, points: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
-    """``pam`` without holding the distances: every step weighs all points as medoids, in tiles spread over the tasks."""
+    """``pam`` without holding the distances: every step weighs points as medoids, in tiles spread over the tasks.
+
+    Totals grow with every distance, and no point of a cell is nearer to any other than the cell's middle less its
+    radius. So a step weighs the cells first, and then the points of those that can hold the best one.
+    """
     n = len(points)
     points = points - points.mean(0)
-    k, tasks = min(k, n), max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
-    sent, rows = spark.sparkContext.broadcast(points), max(1, PAM_TILE // n)
+    k, rows = min(k, n), max(1, PAM_TILE // n)
+    sent = spark.sparkContext.broadcast(points)
 
     def distances(x: np.ndarray, at) -> np.ndarray:
         d = np.add.outer((x[at] ** 2).sum(1), (x**2).sum(1)) - 2 * (x[at] @ x.T)
         return np.sqrt(np.maximum(d, 0, out=d), out=d)
 
-    def weighed(fn) -> np.ndarray:
-        """``fn(distances of a tile)``, rows by point, of all points."""
+    def weighed(fn, at: np.ndarray, radius: np.ndarray | None = None) -> np.ndarray:
+        """``fn(distances of a tile)``, rows by point, of the points ``at``; with radii, ``fn`` of the distances and of the least ones side by side."""
+        tasks = max(1, min(len(at), 4 * spark.sparkContext.defaultParallelism))
 
         def run(batches):
             x = sent.value
             for pdf in batches:
                 for t in pdf["id"]:
-                    ids = np.arange(n * t // tasks, n * (t + 1) // tasks)
+                    ids = np.arange(len(at) * t // tasks, len(at) * (t + 1) // tasks)
                     for i in range(0, len(ids), rows):
-                        at = ids[i : i + rows]
-                        yield pd.DataFrame({"at": at, "v": list(fn(distances(x, at)))})
+                        one = ids[i : i + rows]
+                        d = distances(x, at[one])
+                        v = fn(d) if radius is None else np.hstack([fn(d), fn(np.maximum(d - radius[one, None], 0))])
+                        yield pd.DataFrame({"at": one, "v": list(v)})
 
         got = spark.range(tasks, numPartitions=tasks).mapInPandas(run, "at long, v array<double>").toPandas().sort_values("at")
         return np.array(got["v"].tolist())
 
-    medoids = [int(weighed(lambda d: d.sum(1)[:, None])[:, 0].argmin())]
+    cells = _cells(points)
+    middle = np.array([c[((points[c] - points[c].mean(0)) ** 2).sum(1).argmin()] for c in cells])
+    # rounding of the distances must not hide a point
+    radius = np.array([np.sqrt(((points[c] - points[m]) ** 2).sum(1).max()) for c, m in zip(cells, middle)]) + 1e-6 * np.abs(points).max()
+
+    def best(totals, taken: list[int]) -> tuple[float, int, int]:
+        """(least total, point, column), the first of equals; points that are taken are left out."""
+        v = weighed(totals, middle, radius)
+        wide = v.shape[1] // 2
+        free = ~np.isin(middle, taken)
+        bound = v[free, :wide].min() if free.any() else np.inf
+        held = v[:, wide:].min(1) <= bound * (1 + 1e-9)
+        at = np.sort(np.concatenate([c for c, keep in zip(cells, held) if keep]))
+        at = at[~np.isin(at, taken)]
+        cost = weighed(totals, at)
+        i, j = np.unravel_index(cost.argmin(), cost.shape)
+        return float(cost[i, j]), int(at[i]), int(j)
+
+    medoids = [best(lambda d: d.sum(1)[:, None], [])[1]]
     while len(medoids) < k:
         nearest = distances(points, medoids).min(0)
-        gain = weighed(lambda d: np.maximum(nearest - d, 0).sum(1)[:, None])[:, 0]
-        gain[medoids] = -1
-        medoids.append(int(gain.argmax()))
+        medoids.append(best(lambda d: np.minimum(nearest, d).sum(1)[:, None], medoids)[1])
     for _ in range(rounds):
         near = distances(points, medoids)
         own, first = near.argmin(0), near.min(0)
@@ -160,11 +199,10 @@ def pam_tiled(spark: SparkSession, points: np.ndarray, k: int, rounds: int = 100
             kept = np.minimum(d, first)
             return kept.sum(1)[:, None] + (np.minimum(d, second) - kept) @ mine
 
-        cost = weighed(totals)
-        at, i = np.unravel_index(cost.argmin(), cost.shape)
-        if not cost[at, i] < first.sum() * (1 - 1e-12):
+        cost, at, i = best(totals, [])
+        if not cost < first.sum() * (1 - 1e-12):
             break
-        medoids[i] = int(at)
+        medoids[i] = at
     sent.unpersist()
     return np.array(sorted(medoids))
 
