@@ -18,11 +18,10 @@ from morphoquarry.operators import painted
 from morphoquarry.operators import runs as r
 from morphoquarry.operators.twostage import stable
 from morphoquarry.plans import aggregates, graphs, rasters, spatial
-from morphoquarry.plans.aggregates import POLY_SQL, Grid, polygons
+from morphoquarry.plans.aggregates import PIXELS, POLY_SQL, polygons
 from morphoquarry.plans.spatial import POINTS_SQL
 from morphoquarry.session import Cut
 
-PIXELS = Grid(1.0, True)
 _SAME = [
     aggregates.rasterise, aggregates.axis_max_projection, aggregates.label_extent, aggregates.densest_tile,
     spatial.raster_lookup, spatial.polygonise, graphs.label_components,

@@ -12,7 +12,7 @@ from morphoquarry.operators import neighbours as n
 from morphoquarry.operators import painted
 from morphoquarry.operators.proximity import containing_polygons, near_pairs
 from morphoquarry.operators.twostage import percentiles
-from morphoquarry.plans.aggregates import COARSE, PITCH, POLY_SQL, VOXELS_SQL, Grid, polygons
+from morphoquarry.plans.aggregates import COARSE, PITCH, PIXELS, POLY_SQL, VOXELS_SQL, Grid, polygons
 from morphoquarry.session import Cut
 from morphoquarry.sources.tables import OBJECTS_SQL, objects, table
 
@@ -141,7 +141,9 @@ def raster_lookup(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame
 
 
 @query()
-def polygonise(spark: SparkSession, d: str, grid: Grid = COARSE) -> DataFrame:
+def polygonise(spark: SparkSession, d: str, grid: Grid = PIXELS) -> DataFrame:
+    """Outlines of each polygon's mask along the edges of its pixels, those of its holes among them; every pixel counts."""
+
     def outlines(s: painted.Shapes) -> dict:
         shape, corners, y, x = painted.rings(s.apart(np.arange(len(s.number)), len(s.number)))
         ring = pa.ListArray.from_arrays(np.append(0, corners.cumsum()), pa.StructArray.from_arrays([pa.array(x.astype(float)), pa.array(y.astype(float))], ["x", "y"]))

@@ -7,6 +7,7 @@ import pytest
 
 from morphoquarry.plans import pixels
 from morphoquarry.plans.aggregates import polygons
+from morphoquarry.plans.spatial import QUERIES as SPATIAL
 from morphoquarry.plans.spatial import points, raster_lookup
 
 RING = "array<struct<x:double,y:double>>"
@@ -50,6 +51,19 @@ def test_every_pixel_without_holes(spark, folder):
     assert areas == {i: len(m) for i, (_, m) in MASKS.items() if m} and areas[4] == 3
 
 
+def test_outlines_of_every_pixel(spark, folder):
+    rings = {}
+    for r in SPATIAL["polygonise"](spark, folder).collect():
+        rings.setdefault((r.ex_i, r.poly_id), []).append([(p.x, p.y) for p in r.ring])
+    got = {}
+    for key, found in rings.items():
+        assert all(ring[0] == ring[-1] for ring in found)
+        xs, ys = ([int(p[k]) for ring in found for p in ring] for k in (0, 1))
+        got[key] = {(y, x) for y in range(min(ys), max(ys)) for x in range(min(xs), max(xs)) if sum(inside(ring, y + 0.5, x + 0.5) for ring in found) % 2}
+    assert got == {(ex, i): m for i, (ex, m) in MASKS.items() if m}
+    assert len(rings["a", 1]) == 3 and len(rings["b", 5]) == 1
+
+
 def test_lookup_at_every_pixel(spark):
     d = "/root/testdata/sf0.001"
     of = {}
